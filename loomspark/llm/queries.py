@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, packing, token_counts
+from .tokens import DEFAULT_FOLDER
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str, tokenizers: str = DEFAULT_FOLDER) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json", end_id=2, width=4096)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = DEFAULT_FOLDER) -> DataFrame:
+    return token_counts.answers(_table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", limit=512)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit, n_words = F.size("hit").cast("long"), F.col("n_words").cast("long")
@@ -29,7 +38,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_token_counts": op6_token_counts,
     "op9_decontaminate": op9_decontaminate,
 }
 
