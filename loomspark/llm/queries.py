@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing, quality, token_counts
+from . import decontaminate, exact_dedup, ngram_join, packing, pii, quality, token_counts
 from .tokens import DEFAULT_FOLDER
 
 
@@ -24,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = DEFAULT_FOLDER) -> DataFrame:
     return token_counts.answers(_table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", limit=512)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
