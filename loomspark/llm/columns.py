@@ -19,3 +19,12 @@ def lower_ascii(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, even if used inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(lens: str) -> str:
+    """SQL for the running sums of an int array: within blocks of 128, over blocks, and both together."""
+    return (
+        f"transform(array({lens}), lens -> transform(array(transform(sequence(0, size(lens) div 128), b -> aggregate(slice(lens, b * 128 + 1, 128), 0, (a, x) -> a + x))), "
+        "sums -> transform(array(transform(sequence(0, size(sums) - 1), b -> aggregate(slice(sums, 1, b), 0, (a, x) -> a + x))), "
+        "base -> transform(lens, (x, i) -> base[i div 128] + aggregate(slice(lens, (i div 128) * 128 + 1, i % 128 + 1), 0, (a, y) -> a + y)))[0])[0])[0]"
+    )

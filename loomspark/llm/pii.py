@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .columns import running_sums
 from .scratch import Scratch
 
 #: Kinds in the order in which they are reported, with their patterns and what a match has to hold.
@@ -44,21 +45,12 @@ def _quote(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _sums(lens: str) -> str:
-    """Running sums of an int array: within blocks of 128, over blocks, and both together."""
-    return (
-        f"transform(array({lens}), lens -> transform(array(transform(sequence(0, size(lens) div 128), b -> aggregate(slice(lens, b * 128 + 1, 128), 0, (a, x) -> a + x))), "
-        "sums -> transform(array(transform(sequence(0, size(sums) - 1), b -> aggregate(slice(sums, 1, b), 0, (a, x) -> a + x))), "
-        "base -> transform(lens, (x, i) -> base[i div 128] + aggregate(slice(lens, (i div 128) * 128 + 1, i % 128 + 1), 0, (a, y) -> a + y)))[0])[0])[0]"
-    )
-
-
 def _matches(pattern: str, near: int) -> str:
     """SQL over ``t``: array of (start, stop, value, before, after) of all matches, valid or not."""
     q = _quote(pattern)
     lens = "transform(ms, (m, i) -> length(segs[i]) + if(i > 0, length(ms[i - 1]), 0))"
     built = (
-        f"transform({_sums(lens)}, (s, i) -> named_struct('start', s, 'stop', s + length(ms[i]), 'value', ms[i], "
+        f"transform({running_sums(lens)}, (s, i) -> named_struct('start', s, 'stop', s + length(ms[i]), 'value', ms[i], "
         f"'before', right(segs[i], {near}), 'after', left(segs[i + 1], {near})))"
     )
     return f"transform(array(regexp_extract_all(t, {q}, 0)), ms -> if(size(ms) = 0, cast(array() as array<{_SPAN}>), transform(array(split(t, {q}, -1)), segs -> {built})[0]))[0]"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing, pii, quality, token_counts
+from . import decontaminate, exact_dedup, ngram_join, packing, pii, quality, reply_trees, token_counts
 from .tokens import DEFAULT_FOLDER
 
 
@@ -32,6 +32,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = DEFAULT
     return token_counts.answers(_table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", limit=512)
 
 
+#: What the contract adds to the table: control strings inside both texts.
+TEASER = r"\### Assistant: </turn> ok"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TEASER), (-7, 1, "assistant", TEASER)], "conv_id long, turn long, role string, text string")
+    done = reply_trees.format_paths(reply_trees.threads(rows.unionByName(extra)))
+    return reply_trees.read_back(done).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.expr(r"array_join(transform(turns, x -> concat(x.role, '\n', x.text, '\n')), '')"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit, n_words = F.size("hit").cast("long"), F.col("n_words").cast("long")
@@ -63,11 +81,22 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
+    "op7_chat": op7_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
+    "op7_chat": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(24 + length(replace(replace(role, '\', '\\'), '<|', '\l|')) + length(replace(replace(text, '\', '\\'), '<|', '\l|'))) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id
+    """,
     "op1_ngram_join": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
