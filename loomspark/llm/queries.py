@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing, pii, quality, reply_trees, token_counts
+from . import decontaminate, exact_dedup, hmm, ngram_join, packing, pii, quality, reply_trees, token_counts
 from .tokens import DEFAULT_FOLDER
 
 
@@ -50,6 +50,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit, n_words = F.size("hit").cast("long"), F.col("n_words").cast("long")
@@ -82,6 +86,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_chat": op7_chat,
+    "op8_hmm": op8_hmm,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
