@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, hmm, ngram_join, packing, pii, quality, reply_trees, token_counts
+from . import decontaminate, exact_dedup, hmm, ngram_join, packing, pii, quality, reply_trees, site_tree, token_counts
 from .tokens import DEFAULT_FOLDER
 
 
@@ -24,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(_table(spark, sf_dir, "documents")))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_site_tree": op4_site_tree,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_chat": op7_chat,
