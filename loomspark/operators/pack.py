@@ -112,10 +112,10 @@ def shard_segments(accepted: DataFrame, shard_tokens: int, by_file: bool = True)
     placed = accepted.join(opened, keys)
     a, b = F.col("start_token") - F.col("_open"), F.col("end_token") - F.col("_open")
     piece = F.explode(F.sequence(F.floor(a / shard_tokens), F.floor((b - 1) / shard_tokens))).alias("_k")
-    cut_up = placed.where(F.col("n_tokens") > 0).select(*keys, "row", "start_token", "end_token", "_open", piece)
+    cut_up = placed.where(F.col("n_tokens") > 0).select("source_id", "split", "file_ord", "row", "start_token", "end_token", "_open", piece)
     low = F.col("_open") + F.col("_k") * shard_tokens
     parts = cut_up.select(
-        *keys, "row", "_k", "start_token",
+        "source_id", "split", "file_ord", "row", "_k", "start_token",
         F.greatest("start_token", low).alias("from_token"), F.least("end_token", low + shard_tokens).alias("to_token"),
     )
     order = ["file_ord", "_k"] if by_file else ["_k"]
