@@ -40,7 +40,7 @@ NOISE_TAGS = frozenset("head nav footer aside form script style noscript templat
 #: Words in a class or id that say what an element is.
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "header masthead topbar footer bottombar sidebar sidebox rail widget widgets cookie cookies consent notice notices alert gdpr popup modal overlay "
+    "masthead topbar footer bottombar sidebar sidebox rail widget widgets cookie cookies consent notice notices alert gdpr popup modal overlay "
     "comment comments commentlist disqus reply replies respond share sharing social follow related recommended newsletter subscribe signup login search pagination pager toolbar".split()
 )
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp".split())
@@ -134,7 +134,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], int, str]]:
             elif tag == "hr":
                 flush()
             continue
-        label, noise, main = _named(attributes) if attributes else ("", False, False)
+        # Classes of the whole page say nothing about its parts.
+        label, noise, main = _named(attributes) if attributes and tag not in ("html", "body") else ("", False, False)
         noise |= tag in NOISE_TAGS
         if tag == "body":  # whatever came before it is over
             close(0)
@@ -161,8 +162,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], int, str]]:
             flush()
         above = stack[-1] if stack else ("", "", False, False)
         main |= tag in ("article", "main")
-        noise |= tag == "header" and not above[3]
-        stack.append((tag, f"{tag}.{label}" if label else tag, above[2] or noise, above[3] or main))
+        noise |= (tag == "header" or "header" in label.split(".")) and not above[3]  # a heading of the article is part of it
+        stack.append((tag, f"{tag}.{label}" if label else tag, (above[2] and tag != "main") or noise, above[3] or main))
     flush()
     return out
 
