@@ -27,12 +27,12 @@ def test_quotas_and_targets():
     assert s.target("a", "train") == 200 and s.target("a", "val") == 32
 
 
-def test_production_mixture_quotas():
-    weights = [("finemath_4plus", 5, 10, 25), ("ultra_fineweb", 45, 35, 25), ("dclm", 35, 30, 20), ("cosmopedia_v2", 12, 15, 15), ("ultrafineweb_l3", 3, 10, 15)]
-    ends = [3_000_000_000, 4_000_000_000, 5_000_000_000]
-    phases = [Phase(e, {n: w[i] for n, *w in weights}) for i, e in enumerate(ends)]
-    got = quotas(phases)
-    assert sum(got.values()) == 5_000_000_000
+def test_five_source_mixture():
+    # A mixture over five sources and the quotas it must give, in millions.
+    weights = {"math": (8, 12, 15), "web": (45, 30, 20), "crawl": (35, 25, 15), "synthetic": (12, 15, 20), "curated": (0, 18, 30)}
+    ends = (3_500_000_000, 4_500_000_000, 5_000_000_000)
+    got = quotas([Phase(e, {n: w[i] for n, w in weights.items()}) for i, e in enumerate(ends)])
+    assert got == {"math": 475_000_000, "web": 1_975_000_000, "crawl": 1_550_000_000, "synthetic": 670_000_000, "curated": 330_000_000}
 
 
 def test_reserve_is_a_microbatch_for_each_phase_and_one_more():
