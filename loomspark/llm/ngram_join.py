@@ -13,8 +13,8 @@ components over (document, smallest document of the bucket) edges.
 
 Verification.  Only members of blocks are read again (a bitmap of fixed size picks
 them out of the scan), and every set travels to its block once.  A block's sets are
-put in one global order, most frequent hash first, and stored in a prefix tree whose
-nodes hold runs of hashes.  Each set walks the tree: the overlap with a run is
+put in one global order, rarest hash first, and stored in a prefix tree whose nodes
+hold runs of hashes.  Each set walks the tree: the overlap with a run is
 counted once for all sets below it; a subtree is left when the hashes remaining on
 either side can't reach the least overlap, when sizes differ too much, or when all
 of it already belongs to the set's own group.  So a group of k near copies costs
@@ -150,51 +150,90 @@ def _sets(docs: DataFrame, wanted: np.ndarray, width: int, id_col: str, text_col
     return source.mapInArrow(run, "doc_id long, set array<long>")
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of all ranges, one after the other."""
+    sizes = ends - starts
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    steps = np.ones(total, np.int64)
+    full = sizes > 0
+    firsts, lens = starts[full], sizes[full]
+    at = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    steps[at] = firsts - np.concatenate([[0], (firsts + lens - 1)[:-1]])
+    steps[0] = firsts[0]
+    return np.cumsum(steps)
+
+
 class PrefixTree:
-    """Sets of one block in a tree of shared prefixes, and the groups their links make."""
+    """Sets of one block in a tree of shared prefixes, and the groups their links make.
+
+    Members are ranked rarest first, so the prefixes that differ are the telling ones.
+    Nodes are rows of arrays: the run of members on the way to them, their depth, the
+    range of sets below, their children.  A set walks the tree level by level, all of
+    a level's nodes at once.
+    """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, run: int = 256):
         self.percent = percent
         members, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(members), np.int32)
-        rank[np.lexsort([members, -counts])] = np.arange(len(members), dtype=np.int32)
+        rank[np.lexsort([members, counts])] = np.arange(len(members), dtype=np.int32)
         ends = np.cumsum([len(s) for s in sets])
         paths = [np.sort(p) for p in np.split(rank[where], ends[:-1])]
         self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i4").tobytes())
         self.paths = [paths[i] for i in self.order]
-        self.sizes = np.array([len(p) for p in self.paths])
-        self.width = len(members)
+        self.sizes = np.array([len(p) for p in self.paths], np.int64)
+        self.inside = np.zeros(len(members), bool)
         self.group = np.arange(len(sets))  # by place in the tree's order
-        self.root = self._build()
-
-    def _build(self) -> tuple:
-        """Nodes (end depth, first set, last set + 1, children, sets that end here), from the shared lengths of neighbours."""
-        paths = self.paths
-        shared = [0]
-        for a, b in zip(paths, paths[1:], strict=False):
-            n = min(len(a), len(b))
-            differ = a[:n] != b[:n]
-            shared.append(int(differ.argmax()) if differ.any() else n)
-        root = [0, 0, len(paths), [], []]
-        stack = [root]
+        self._build(run)
+
+    def _build(self, run: int) -> None:
+        """Nodes from the shared lengths of neighbouring paths; long runs are cut."""
+        paths, at = self.paths, np.concatenate([[0], np.cumsum(self.sizes)])
+        tree = [0, 0, len(paths), []]  # depth, first set, last set + 1, children
+        stack = [tree]
         for i, path in enumerate(paths):
+            shared = 0
+            if i:
+                n = min(len(path), len(paths[i - 1]))
+                differ = path[:n] != paths[i - 1][:n]
+                shared = int(differ.argmax()) if differ.any() else n
             last = None
-            while stack[-1][0] > shared[i]:
+            while stack[-1][0] > shared:
                 last = stack.pop()
                 last[2] = i
-            if last is not None and stack[-1][0] < shared[i]:  # the last subtree hangs below a new branching
-                middle = [shared[i], last[1], None, [last], []]
-                stack[-1][3][-1] = middle
+            if last is not None and stack[-1][0] < shared:  # a new branching above the last subtree
+                stack[-1][3][-1] = middle = [shared, last[1], 0, [last]]
                 stack.append(middle)
-            if stack[-1][0] == len(path):
-                stack[-1][4].append(i)
-            else:
-                leaf = [len(path), i, None, [], [i]]
+            if stack[-1][0] < len(path):
+                leaf = [len(path), i, 0, []]
                 stack[-1][3].append(leaf)
                 stack.append(leaf)
         for node in stack:
             node[2] = len(paths)
-        return root
+        rows, kids = [], [[]]  # node 0 is the root
+        todo = [(0, tree)]
+        while todo:
+            number, node = todo.pop()
+            for child in node[3]:
+                above, depth = number, node[0]
+                while depth < child[0]:
+                    to = min(child[0], depth + run)
+                    rows.append((at[child[1]] + depth, at[child[1]] + to, to, child[1], child[2]))
+                    kids.append([])
+                    kids[above].append(len(rows))
+                    above, depth = len(rows), to
+                todo.append((above, child))
+        self.first = np.concatenate([[0], np.cumsum([len(k) for k in kids])])
+        self.kids = np.array([x for k in kids for x in k], np.int64)
+        self.start, self.stop, self.depth, self.lo, self.hi = (np.array(c, np.int64) for c in zip((0, 0, 0, 0, len(paths)), *rows, strict=True))
+        self.members = np.concatenate(paths)
+        # Equal sizes below a node mean that exactly the sets of the node's depth end there.
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.small = np.array([self.sizes[a:b].min() for a, b in zip(self.lo, self.hi, strict=True)])
+        self.large = np.array([self.sizes[a:b].max() for a, b in zip(self.lo, self.hi, strict=True)])
+        assert ends[-1] == len(self.members)
 
     def _join(self, a: int, b: int) -> None:
         x, y = self.group[a], self.group[b]
@@ -202,34 +241,45 @@ class PrefixTree:
 
     def link(self) -> None:
         """Join every set with the groups of all sets that it is similar to."""
-        inside = np.zeros(self.width, bool)
         for i, path in enumerate(self.paths):
-            if not (self.group != self.group[i]).any():
+            if i + 1 == len(self.paths) or (self.group == self.group[0]).all():
+                return
+            self.inside[path] = True
+            self._walk(i, path)
+            self.inside[path] = False
+
+    def _walk(self, i: int, path: np.ndarray) -> None:
+        n, q = len(path), self.percent
+        settled = self.group == self.group[i]
+        settled[: i + 1] = True  # earlier sets have walked already
+        known = np.concatenate([[0], np.cumsum(settled)])
+        nodes, overlap = self.kids[self.first[0] : self.first[1]], np.zeros(self.first[1], np.int64)
+        while len(nodes):
+            lo, hi = self.lo[nodes], self.hi[nodes]
+            small, large = self.small[nodes], self.large[nodes]
+            open_ = (known[hi] - known[lo] < hi - lo) & (100 * large >= q * n) & (100 * n >= q * small)
+            nodes, overlap, small, large = nodes[open_], overlap[open_], small[open_], large[open_]
+            if not len(nodes):
                 return
-            inside[path] = True
-            self._walk(i, path, inside)
-            inside[path] = False
-
-    def _walk(self, i: int, path: np.ndarray, inside: np.ndarray) -> None:
-        n, q, sizes, group = len(path), self.percent, self.sizes, self.group
-        stack = [(self.root, 0, 0)]
-        while stack:
-            (end, lo, hi, children, here), start, overlap = stack.pop()
-            if not (group[lo:hi] != group[i]).any():
-                continue  # all of it is in this set's group
-            small, large = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
-            if 100 * large < q * n or 100 * n < q * small:
-                continue
-            if end > start:
-                run = self.paths[lo][start:end]
-                overlap += int(np.count_nonzero(inside[run]))
-                mine = n - int(np.searchsorted(path, run[-1], side="right"))
-                if (100 + q) * (overlap + min(mine, large - end)) < q * (n + max(small, -(-q * n // 100))):
-                    continue  # what remains can't reach the least overlap
-            for j in here:
-                if group[j] != group[i] and (100 + q) * overlap >= q * (n + int(sizes[j])):
-                    self._join(i, j)
-            stack += [(c, end, overlap) for c in children]
+            start, stop = self.start[nodes], self.stop[nodes]
+            seen = self.inside[self.members[_ranges(start, stop)]]
+            overlap = overlap + np.add.reduceat(seen, np.concatenate([[0], np.cumsum(stop - start)[:-1]]), dtype=np.int64)
+            mine = n - np.searchsorted(path, self.members[stop - 1], side="right")
+            best = overlap + np.minimum(mine, large - self.depth[nodes])
+            live = (100 + q) * best >= q * (n + np.maximum(small, -(-q * n // 100)))  # else what remains can't reach the least overlap
+            nodes, overlap, small = nodes[live], overlap[live], small[live]
+            done = small == self.depth[nodes]  # sets that end at the node come first below it
+            for node, k in zip(nodes[done].tolist(), overlap[done].tolist(), strict=True):
+                size = int(self.depth[node])
+                if (100 + q) * k >= q * (n + size):
+                    for j in range(int(self.lo[node]), int(self.hi[node])):
+                        if self.sizes[j] != size:
+                            break
+                        if self.group[j] != self.group[i]:
+                            self._join(i, j)
+            below = self.first[nodes], self.first[nodes + 1]
+            overlap = np.repeat(overlap, below[1] - below[0])
+            nodes = self.kids[_ranges(*below)]
 
 
 def _solve(parts: DataFrame, percent: int, tasks: int) -> DataFrame:
