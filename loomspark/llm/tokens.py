@@ -34,33 +34,68 @@ def special_pattern(tokenizer) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
 
+def byte_characters() -> list[str]:
+    """The printable character that byte-level tokenizers write for each byte: itself if it has one, else the next from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, spare = [], 0x100
+    for b in range(256):
+        out.append(chr(b if b in plain else spare))
+        spare += b not in plain
+    return out
+
+
+_BYTE = byte_characters()
+
+
+def as_bytes(piece: str) -> str:
+    """A piece as a string with a character for each of its UTF-8 bytes."""
+    return "".join([_BYTE[b] for b in piece.encode()])
+
+
+#: Words of these characters alone are the same for all rules about letters, case and composition.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: How such a word, in lower case, falls into pieces.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class WordIds:
-    """Token ids of texts for tokenizers that drop white space.
+    """Token ids of texts for the lower-casing tokenizer that drops white space.
 
-    Such a tokenizer never joins characters across ASCII white space, so the ids of
-    a text are those of its words in turn; each distinct word is encoded once.
-    ``ids`` gives them as unsigned little-endian 32-bit numbers.
+    It never joins characters across ASCII white space, so the ids of a text are
+    those of its words in turn; each distinct word is encoded once.  Plain words are
+    cut into pieces here, and each distinct piece goes through the tokenizer's merges;
+    all others go through the whole tokenizer.  ``ids`` gives unsigned little-endian
+    32-bit numbers.
     """
 
     def __init__(self, path: str):
-        self._encode = load(path).encode
+        tokenizer = load(path)
+        self._encode, self._merge = tokenizer.encode, tokenizer.model.tokenize
         self._known: dict[bytes, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self._pieces.get(piece)
+        if got is None:
+            got = b"".join([t.id.to_bytes(4, "little") for t in self._merge(as_bytes(piece))])
+            if len(piece) <= 48:
+                trim(self._pieces)
+                self._pieces[piece] = got
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            got = b"".join([self._piece(p) for p in _PIECES.findall(text.lower())])
+        else:
+            got = b"".join([i.to_bytes(4, "little") for i in self._encode(text, add_special_tokens=False).ids])
+        if len(word) <= 64:
+            self._known[word] = got
+        return got
 
     def ids(self, text: str) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split()
         known = self._known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
         trim(known)
-        local = {}
-        for w in set(words):
-            got = known.get(w)
-            if got is None:
-                ids = self._encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-                got = b"".join(i.to_bytes(4, "little") for i in ids)
-                if len(w) <= 64:
-                    known[w] = got
-            local[w] = got
-        return b"".join([local[w] for w in words])
+        get, made = known.get, self._word
+        return b"".join([made(w) if (got := get(w)) is None else got for w in words])
