@@ -109,7 +109,8 @@ def _disclosing(scratch: Scratch, docs: DataFrame, near: DataFrame, joint: DataF
         return joint.select("e", "t")
     wanted = scratch.save(joint.select("t").distinct())
     words = docs.select(F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(coalesce({text_col}, ''), {_quote(WORD)}, 0), w -> lower(w)))")).alias("t"))
-    n_t = words.join(wanted, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    # Counted before the join: the counts of all words are far fewer rows than their mentions.
+    n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "t")
     n_e = near.select("rid", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     total = float(docs.count())
     ic = F.log2(F.lit(total) / F.col("n_e"))
