@@ -1,12 +1,13 @@
 """Exact token counts of every prefix of a text, by dynamic programming.
 
-A byte-level BPE splits a text into pieces that it encodes alone.  Within a piece
-the encoding of a prefix is the encoding of a shorter prefix followed by one
+A byte-level BPE splits a text into pieces that it encodes alone, so counts add up
+over pieces: a text's table is the running sum over its chunks (a run of white space
+and the word after it), whose totals are kept per distinct chunk and piece.  Within a
+piece the encoding of a prefix is the encoding of a shorter prefix followed by one
 token: the only one that the merges keep apart from the token before it.  So
-``last[i]`` and ``count[i] = count[i - len(last[i])] + 1`` fill a table over all
-byte prefixes, without encoding any prefix.  Tables are kept per distinct piece,
-totals per distinct chunk (a run of white space and the word after it), and a
-text's table is the running sum over its chunks.
+``last[i]`` and ``count[i] = count[i - len(last[i])] + 1`` fill a table over all byte
+prefixes of the piece without encoding any of them; it is filled, and kept, for the
+pieces in which a question ends.
 
 ``PrefixTable`` answers: tokens in all, tokens in the first i characters, longest
 prefix within a budget.  ``answers`` applies it to a table of documents.
@@ -25,11 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import load, special_pattern, trim
+from .tokens import as_bytes, load, special_pattern, trim
 
 ANSWERS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_within_limit long"
 #: A chunk ends where a space or line end follows something that is surely no white space.
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Chunks of these characters alone are split here; others by the tokenizer.
+_PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ÿ]+")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n{_LETTER}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _UNSURE = re.compile(r"[^\S \n][ \n]")
 
@@ -46,6 +51,7 @@ class Prefixes:
         self._special = special_pattern(self.tokenizer)
         self._pieces: dict[str, list[int]] = {}
         self._apart: dict[tuple[str, str], bool] = {}
+        self._whole: dict[str, int] = {}
         self._chunks: dict[str, int] = {}
 
     def _keep_apart(self, a: str, b: str) -> bool:
@@ -75,11 +81,22 @@ class Prefixes:
             self._pieces[piece] = count
         return count
 
+    def plain(self, piece: str) -> int:
+        """Tokens of a piece as it stands in the text."""
+        known = self._whole.get(piece)
+        if known is None:
+            known = self._whole[piece] = len(self._tokenize(as_bytes(piece)))
+            trim(self._whole)
+        return known
+
     def chunk(self, chunk: str) -> int:
         """Tokens of a whole chunk."""
         known = self._chunks.get(chunk)
         if known is None:
-            known = sum(self.piece(p)[-1] for p, _ in self._split(chunk))
+            if _PLAIN.fullmatch(chunk):
+                known = sum([self.plain(p) for p in _PIECES.findall(chunk)])
+            else:
+                known = sum([len(self._tokenize(p)) for p, _ in self._split(chunk)])
             if len(chunk) <= 48:
                 trim(self._chunks)
                 self._chunks[chunk] = known
@@ -131,10 +148,10 @@ class Prefixes:
 
     def totals(self, chunks: list[str]) -> list[int]:
         known = self._chunks
-        try:
-            return [known[c] for c in chunks]
-        except KeyError:
-            return [1 if self.special(c) else self.chunk(c) for c in chunks]
+        get, made = known.get, self.chunk
+        if self._special and any([c[0] == "<" and self.special(c) for c in chunks]):
+            return [1 if self.special(c) else made(c) for c in chunks]
+        return [made(c) if (got := get(c)) is None else got for c in chunks]
 
 
 class PrefixTable:
