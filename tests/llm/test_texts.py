@@ -196,6 +196,32 @@ def test_terms_that_give_values_away(spark):
     assert pii.report(pii.find(spark.createDataFrame([], DOC))).count() == 0
 
 
+def brute_terms(docs, alpha=0.9):
+    """Terms by document from counts over whole, different texts."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    words = {t: {w for w in map(str.lower, word.findall(t)) if len(w) >= 3 and not w.isdigit()} for t in {t or "" for _, t in docs}}
+    values = {t: {(k, m.group().lower()) for k, p in PATTERNS.items() for m in re.finditer(p, t, re.A) if valid(k, m.group())} for t in words}
+    n_t, n_e = Counter(w for ws in words.values() for w in ws), Counter(e for es in values.values() for e in es)
+    n_et, n = Counter((e, w) for t, es in values.items() for e in es for w in words[t]), len(words)
+    gives = lambda e, w: n_e[e] < n and math.log2(n * (n_et[e, w] - 0.5) / (n_e[e] * n_t[w])) >= alpha * math.log2(n / n_e[e])
+    return {i: {w for w in words[t or ""] if any(gives(e, w) for e in values[t or ""])} for i, t in docs}
+
+
+def test_rare_values_and_far_terms(spark):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choices(["some", "words", "that", "all", "texts", "have"], k=n))
+    docs = [(1, f"yeti {filler(80)} write to one@corp.example {filler(3)}")]  # one text, and a term 80 words away
+    docs += [(2 + k, f"{filler(30 + k)} two@corp.example or 10.1.2.3 {filler(60)} kraken") for k in range(2)]
+    docs += [(10 + k, f"{filler(40)} ten@corp.example {filler(40)} {'griffin' if k < 9 else 'sphinx'} c{k}") for k in range(10)]
+    docs += [(100 + k, f"{filler(20)} n{k // 3} {'griffin' if k < 6 else ''}") for k in range(1500)] + [(1, docs[0][1])]
+    found = pii.report(pii.find(spark.createDataFrame(docs, DOC))).collect()
+    texts, want = dict(docs), brute_terms(docs)
+    assert len(found) == len(docs) and "yeti" in want[1] and "kraken" in want[2] and "griffin" not in want[10] and "sphinx" not in want[19] and "sphinx" not in want[10] and "ten" in want[10]
+    for r in found:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term:")]
+        assert {texts[r.doc_id][a:b] for a, b in spans} == {w for w in want[r.doc_id] if w not in ("one", "two", "ten", "corp", "example")}
+
+
 # --- conversations --------------------------------------------------------------------------------
 
 
