@@ -14,8 +14,9 @@ are joined to the pages by host.
 
 What an element says about itself counts first: navigation, headers, footers, asides,
 forms, scripts and the like, and elements whose class or id names an advert, notice or
-reader comment, are removed; where a page marks an article (or main), only that is
-kept, and the tree doesn't remove any of it.
+reader comment, are removed.  On a host with a tree (``min_pages`` different pages) the
+tree decides on all the rest, in an article (or main) and outside it.  On other hosts
+the mark is all there is to go by: where a page marks an article, only that is kept.
 
 Cases: null pages are empty; a page that is all noise has the empty text; a null url is
 a host of its own; copies of a page count once in the tree; repeated rows are each
@@ -174,12 +175,16 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
 
-def main_text(html: str | None, low) -> str:
-    """The kept blocks; ``low(path)`` tells whether a branch has too little importance."""
+#: The empty path: stands among a host's low branches if the host has a tree.
+_TREE = _hash("")
+
+
+def main_text(html: str | None, low, tree: bool = False) -> str:
+    """The kept blocks; ``low(path)`` tells whether a branch has too little importance, ``tree`` whether the host has one."""
     found = blocks(html)
-    if any(kind == ARTICLE for _, kind, _ in found):
-        return "\n".join(text for _, kind, text in found if kind == ARTICLE)
-    return "\n".join(text for path, kind, text in found if kind == OPEN and not any(low(path[:d]) for d in range(1, len(path) + 1)))
+    marked = any(kind == ARTICLE for _, kind, _ in found)
+    kinds = (ARTICLE,) if marked and not tree else (ARTICLE, OPEN)
+    return "\n".join(text for path, kind, text in found if kind in kinds and not any(low(path[:d]) for d in range(1, len(path) + 1)))
 
 
 def host_of(url: Column) -> Column:
@@ -234,7 +239,10 @@ def extract(
     """page_id, url, text, n_chars for every row."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "site-tree")
-    low = importance(branch_counts(pages, url_col, html_col)).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+    counts = scratch.save(branch_counts(pages, url_col, html_col))
+    low = importance(counts).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+    trees = counts.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    low = low.select("host", "path").unionByName(trees.select("host", F.lit(_TREE).alias("path")))
     low = scratch.save(low.select("host", "path", F.xxhash64("host", "path").alias("key")))
     wanted = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if low.count() <= max_keys:
@@ -256,7 +264,7 @@ def extract(
             texts = []
             for html, host, own in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 paths = frozenset((shared.value.get(host, none) if shared else none if own.as_py() is None else np.array(own.as_py(), np.int64)).tolist())
-                texts.append(main_text(html.as_py(), lambda path, paths=paths: bool(paths) and _hash("/".join(path)) in paths))
+                texts.append(main_text(html.as_py(), lambda path, paths=paths: bool(paths) and _hash("/".join(path)) in paths, _TREE in paths))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return held.mapInArrow(run, schema).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -276,6 +276,19 @@ def test_low_branches_go(spark):
     assert site_tree.extract(frame.limit(0)).count() == 0
 
 
+def test_tree_decides_on_marked_pages(spark):
+    box = "<div>Read our app</div>"
+    inside = lambda k: f"<body><main>{box}<p>story number {k}</p></main></body>"
+    teaser = lambda k: f"<body><article><p>More from us</p></article><div><p>body number {k}</p></div></body>"
+    rows = [(k, f"http://in.example/{k}", inside(k)) for k in range(6)] + [(10 + k, f"http://out.example/{k}", teaser(k)) for k in range(6)]
+    rows += [(20, "http://few.example/", inside(0)), (21, "http://less.example/", teaser(0))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for keys in (200_000, 0):
+        got = {r.page_id: r.text for r in site_tree.extract(frame, max_keys=keys).collect()}
+        assert all(got[k] == f"story number {k}" and got[10 + k] == f"body number {k}" for k in range(6))
+        assert got[20] == "Read our app\nstory number 0" and got[21] == "More from us"  # one page is no tree
+
+
 def test_article_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     from html import unescape
