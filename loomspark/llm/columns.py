@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: The contracts' white space: space and the five ASCII controls from tab on.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -21,6 +21,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits of a text; null counts as the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id (null is one, too) and text hash are in ``gone`` (id, h)."""
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & (text_hash(docs[text_col]) == gone["h"]), "left_anti").select(*docs.columns)
+
+
 def running_sums(lens: str) -> str:
     """SQL for the running sums of an int array: within blocks of 128, over blocks, and both together."""
     return (

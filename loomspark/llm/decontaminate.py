@@ -14,14 +14,14 @@ above that the same grams are looked up by a join that Spark plans by size.
 Cases: null and empty texts have no words and are never contaminated; repeated
 rows are judged separately; items with equal windows all count; a null
 ``item_id`` is not reported but its words still count as hit; an empty benchmark
-hits nothing.  ``remove_documents`` never drops a row whose ``doc_id`` is null.
+hits nothing.  ``remove_documents`` drops rows, by id (null is one, too) and text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import lower_ascii
+from .columns import lower_ascii, text_hash, without
 from .scratch import Scratch
 
 #: All that is not a digit, an ASCII letter or a character beyond ASCII.
@@ -123,11 +123,12 @@ def is_contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
-    """``docs`` without the contaminated documents."""
+    """``docs`` without the contaminated rows; other rows of the same id stay."""
     scratch = Scratch(docs.sparkSession, "decontaminate-drop")
-    seen = scan(docs, benchmark, id_col=id_col, text_col=text_col)
-    bad = scratch.save(seen.where(is_contaminated(F.size("hit"), F.col("n_words"), share)).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h")).alias("row"), text_col)
+    seen = scan(rows, benchmark, id_col="row", text_col=text_col)
+    bad = scratch.save(seen.where(is_contaminated(F.size("hit"), F.col("n_words"), share)).select("doc_id.id", "doc_id.h").distinct())
+    return without(docs, bad, id_col, text_col)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

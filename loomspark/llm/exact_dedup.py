@@ -9,16 +9,16 @@ split when one class is hot.
 
 Cases: a null text counts as empty; empty texts form one class; a null
 ``doc_id`` is never chosen while its class has another id; a row repeated with
-the same ``doc_id`` and text is the same document and shares its verdict; an
-empty table gives an empty result; further columns are ignored by ``classes``
-and kept by ``deduplicate``.
+the same ``doc_id`` and text is the same document and shares its verdict in
+``classes``, and ``deduplicate`` keeps one of them; an empty table gives an empty
+result; further columns are ignored by ``classes`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import ASCII_SPACE
+from .columns import ASCII_SPACE, text_hash, without
 from .scratch import Scratch
 
 
@@ -47,7 +47,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns: one of each class, of the smallest id (null if there is no other)."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    gone = scratch.save(classes(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    named = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h")).alias("row"), normalised(F.col(text_col)).alias("body"))
+    hashed = named.select("row", "body", F.unhex(F.md5("body")).alias("h128"))
+    found = hashed.groupBy("h128", "body").agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    members = hashed.select("row", "h128", F.unhex(F.sha2("body", 256)).alias("h256"))
+    # Classes of one row lose nothing.
+    rows = scratch.save(members.join(found.select("h128", F.unhex(F.sha2("body", 256)).alias("h256"), "keep"), ["h128", "h256"]).select("row", "keep"))
+    gone = rows.where(F.col("row") != F.col("keep")).select("row.id", "row.h").distinct()
+    left = without(docs, gone, id_col, text_col)
+    twice = scratch.save(rows.where(F.col("row") == F.col("keep")).groupBy("row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("row.id", "row.h"))
+    if twice.isEmpty():
+        return left
+    # Rows that repeat an id and its text: one of each.
+    again = twice.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    marked = left.join(again, left[id_col].eqNullSafe(again["_id"]) & (text_hash(left[text_col]) == again["_h"]), "left")
+    once = marked.where(F.col("_h").isNotNull()).dropDuplicates(["_id", "_h"])
+    return marked.where(F.col("_h").isNull()).unionByName(once).select(*docs.columns)

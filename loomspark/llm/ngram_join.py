@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import text_hash, without
 from .components import components
 from .scratch import Scratch
 
@@ -386,8 +387,18 @@ def _large_blocks(scratch: Scratch, members: DataFrame, large: DataFrame, edges:
 
 
 def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its group, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "ngram-join-drop")
-    found = groups(docs, width, percent, id_col=id_col, text_col=text_col)
-    gone = scratch.save(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with the smallest id of their group, with all their columns; one of the rows that repeat an id and its text."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram-join-drop")
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) | F.col(id_col).isNull()).isEmpty():
+        found = groups(docs, width, percent, id_col=id_col, text_col=text_col)
+        gone = scratch.save(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct())
+        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # Ids don't tell the rows apart: each id and text gets a number, in the order of the ids, nulls last.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("h"))
+    numbers = scratch.save(rows.select("id", "h").distinct().orderBy(F.asc_nulls_last("id"), "h").select("id", "h", F.monotonically_increasing_id().alias("row")))
+    numbered = scratch.save(rows.join(numbers, rows["id"].eqNullSafe(numbers["id"]) & (rows["h"] == numbers["h"])).select("row", "text"))
+    found = groups(numbered.dropDuplicates(["row"]), width, percent, id_col="row", text_col="text")
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("row"))
+    left = without(docs, scratch.save(numbers.join(gone, "row").select("id", "h")), id_col, text_col)
+    return left.withColumn("_h", text_hash(F.col(text_col))).dropDuplicates([id_col, "_h"]).select(*docs.columns)

@@ -382,6 +382,20 @@ def test_scores_against_counts(spark, sf):
 # --- pipeline -------------------------------------------------------------------------------------
 
 
+def test_stages_tell_rows_of_one_id_apart(spark):
+    from loomspark.llm import exact_dedup, ngram_join
+
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (2, a.replace(" ", "  ")), (2, b), (2, b), (3, "c"), (None, b), (None, "d"), (None, "d")]
+    key = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert key(exact_dedup.deduplicate(spark.createDataFrame(rows, DOC))) == sorted([(1, a), (2, b), (3, "c"), (None, "d")], key=repr)
+    near = [(1, a), (2, a + " more"), (2, b), (2, b), (3, "c"), (None, b + " more"), (None, "d")]
+    assert key(ngram_join.one_of_each(spark.createDataFrame(near, DOC), 5, 80)) == sorted([(1, a), (2, b), (3, "c"), (None, "d")], key=repr)
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    left = decontaminate.remove_documents(spark.createDataFrame([(1, a), (1, b), (None, a), (None, b), (2, "c")], DOC), bench)
+    assert key(left) == sorted([(1, b), (None, b), (2, "c")], key=repr)
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     import corpus_pipeline
     from test_dedup_join import brute_groups
