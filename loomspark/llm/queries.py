@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, exact_dedup, hmm, ngram_join, packing, pii, quality, reply_trees, site_tree, token_counts
-from .tokens import DEFAULT_FOLDER
+from .tokens import path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,8 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-def op2_packing(spark: SparkSession, sf_dir: str, tokenizers: str = DEFAULT_FOLDER) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json", end_id=2, width=4096)
+def op2_packing(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json", tokenizers), end_id=2, width=4096)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(_table(spark, sf_dir, "documents")))
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = DEFAULT_FOLDER) -> DataFrame:
-    return token_counts.answers(_table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", limit=512)
+def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return token_counts.answers(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json", tokenizers), limit=512)
 
 
 #: What the contract adds to the table: control strings inside both texts.

@@ -2,23 +2,26 @@
 
 A byte-level BPE splits a text into pieces that it encodes alone, so counts add up
 over pieces: a text's table is the running sum over its chunks (a run of white space
-and the word after it), whose totals are kept per distinct chunk and piece.  Within a
-piece the encoding of a prefix is the encoding of a shorter prefix followed by one
-token: the only one that the merges keep apart from the token before it.  So
-``last[i]`` and ``count[i] = count[i - len(last[i])] + 1`` fill a table over all byte
-prefixes of the piece without encoding any of them; it is filled, and kept, for the
-pieces in which a question ends.
+and the word after it).  Within a piece the encoding of a prefix is the encoding of a
+shorter prefix followed by one token: the only one that the merges keep apart from the
+token before it.  So ``last[i]`` and ``count[i] = count[i - len(last[i])] + 1`` fill a
+table over all byte prefixes of the piece without encoding any of them.  Every count,
+of a whole piece, chunk or text too, is read from these tables, which are made once for
+each distinct piece while a worker's cache holds it.
 
 ``PrefixTable`` answers: tokens in all, tokens in the first i characters, longest
 prefix within a budget.  ``answers`` applies it to a table of documents.
 
-Cases: null counts as empty, with no tokens; special strings in a text are one
+Cases: null counts as empty, with no tokens; an empty table gives an empty result; extra
+columns are not read; special strings in a text are one
 token, as the library has it; very long words are cut into pieces by the
 tokenizer's own splitter, and their tables are not kept; repeated rows repeat.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -37,6 +40,53 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n{_LETTER}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _UNSURE = re.compile(r"[^\S \n][ \n]")
+#: Bytes at the start of a piece whose table is shared with other pieces.
+_HEAD = 6
+
+
+class Merges:
+    """Which tokens can stand next to each other in an encoding, from the merge list alone.
+
+    Two tokens stay apart if no merge that could have joined characters across their
+    border comes before the merges that made them.  Ids of made tokens are in the order
+    of the merges, so only the parts along the border have to be looked at.
+    """
+
+    def __init__(self, tokenizer):
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab = model["vocab"]
+        self._made: dict[tuple[int, int], int] = {}
+        self._parts = {i: (i, i) for i in vocab.values()}
+        for merge in model["merges"]:
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            pair, made = (vocab[left], vocab[right]), vocab[left + right]
+            self._made[pair] = made
+            if self._parts[made] == (made, made):
+                self._parts[made] = pair
+        #: All tokens backwards, character by character; "" holds the id where one begins.
+        self.tails: dict = {}
+        for word, i in vocab.items():
+            if len(tokenizer.model.tokenize(word)) == 1:  # others are never made
+                node = self.tails
+                for c in reversed(word):
+                    node = node.setdefault(c, {})
+                node[""] = i
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether ``a`` and ``b`` in a row are the encoding of their characters."""
+        made, parts, before = self._made.get, self._parts, 1 << 32
+        while True:
+            joined = made((a, b))
+            if joined is not None and joined < before:
+                return False
+            inner_a, inner_b = parts[a][1], parts[b][0]
+            # The younger of both is taken apart; what it was made of met the other one before that.
+            if a > b and inner_a != a or inner_b == b:
+                if inner_a == a:
+                    return True
+                a, before = inner_a, a
+            else:
+                b, before = inner_b, b + 1
 
 
 class Prefixes:
@@ -45,48 +95,57 @@ class Prefixes:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self._split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self._tokenize = self.tokenizer.model.tokenize
-        self._vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self._longest = max(map(len, self._vocab))
+        self._merges = Merges(self.tokenizer)
         self._special = special_pattern(self.tokenizer)
         self._pieces: dict[str, list[int]] = {}
-        self._apart: dict[tuple[str, str], bool] = {}
+        self._heads: dict[str, tuple[list[int], list[int]]] = {}
+        self._apart: dict[int, bool] = {}
         self._whole: dict[str, int] = {}
         self._chunks: dict[str, int] = {}
 
-    def _keep_apart(self, a: str, b: str) -> bool:
-        found = self._apart.get((a, b))
-        if found is None:
-            trim(self._apart)
-            found = self._apart[a, b] = [t.value for t in self._tokenize(a + b)] == ([a, b] if a else [b])
-        return found
-
     def piece(self, piece: str) -> list[int]:
         """Counts for the first 0, 1, .. bytes of a piece, which has a character per byte."""
         known = self._pieces.get(piece)
         if known is not None:
             return known
-        count, last, vocab, apart = [0], [""], self._vocab, self._keep_apart
-        for i in range(1, len(piece) + 1):
-            for k in range(max(0, i - self._longest), i):
-                token = piece[k:i]
-                if token in vocab and apart(last[k], token):
-                    count.append(count[k] + 1)
-                    last.append(token)
-                    break
-            else:  # no token of the vocabulary ends here
-                raise ValueError(f"the tokenizer can't encode {piece[:i]!r}")
-        if len(piece) <= 32:
-            trim(self._pieces)
+        count, last, size = [0], [-1], len(piece)
+        if size > _HEAD and (head := self._heads.get(piece[:_HEAD])):  # pieces that begin alike share that part
+            count, last = head[0].copy(), head[1].copy()
+        tails, apart, get = self._merges.tails, self._apart, self._apart.get
+        for i in range(len(count), size + 1):
+            node, k = tails, i
+            while True:  # tokens that end here, the shortest first; one of them fits
+                k -= 1
+                node = node.get(piece[k]) if k >= 0 else None
+                if node is None:
+                    raise ValueError(f"the tokenizer can't encode {piece[:i]!r}")
+                token = node.get("")
+                if token is None:
+                    continue
+                if k:
+                    pair = last[k] << 32 | token
+                    fits = get(pair)
+                    if fits is None:
+                        fits = apart[pair] = self._merges.apart(last[k], token)
+                    if not fits:
+                        continue
+                count.append(count[k] + 1)
+                last.append(token)
+                break
+            if i == _HEAD < size:
+                self._heads[piece[:_HEAD]] = count.copy(), last.copy()
+        if size <= 32:
+            for cache in (self._pieces, self._heads, self._apart):
+                trim(cache)
             self._pieces[piece] = count
         return count
 
     def plain(self, piece: str) -> int:
-        """Tokens of a piece as it stands in the text."""
+        """Tokens of a piece as it stands in the text: the last entry of its table."""
         known = self._whole.get(piece)
         if known is None:
-            known = self._whole[piece] = len(self._tokenize(as_bytes(piece)))
             trim(self._whole)
+            known = self._whole[piece] = self.piece(as_bytes(piece))[-1]
         return known
 
     def chunk(self, chunk: str) -> int:
@@ -96,7 +155,7 @@ class Prefixes:
             if _PLAIN.fullmatch(chunk):
                 known = sum([self.plain(p) for p in _PIECES.findall(chunk)])
             else:
-                known = sum([len(self._tokenize(p)) for p, _ in self._split(chunk)])
+                known = sum([self.piece(p)[-1] for p, _ in self._split(chunk)])
             if len(chunk) <= 48:
                 trim(self._chunks)
                 self._chunks[chunk] = known
@@ -154,14 +213,33 @@ class Prefixes:
         return [made(c) if (got := get(c)) is None else got for c in chunks]
 
 
+@functools.lru_cache(maxsize=4)
+def prefixes_of(path: str) -> Prefixes:
+    """One for each worker process, so that tables outlive a task."""
+    return Prefixes(path)
+
+
 class PrefixTable:
     """Answers for one text from its table alone."""
 
     def __init__(self, prefixes: Prefixes, text: str):
         self._p, self.text = prefixes, text
         self._chunks = prefixes.chunks(text)
-        self._tokens = prefixes.totals(self._chunks)
-        self.total = sum(self._tokens)
+        self.tokens = prefixes.totals(self._chunks)
+        self.total = sum(self.tokens)
+
+    def ends(self) -> list[int]:
+        """Characters up to the end of each chunk."""
+        return np.cumsum([len(c) for c in self._chunks], dtype=np.int64).tolist()
+
+    def everywhere(self) -> list[int]:
+        """Tokens of the first 1, 2, .. characters."""
+        out, at, before = [], 0, 0
+        for c, n in zip(self._chunks, self.tokens, strict=True):
+            inner = [self.count_at(at + j) for j in range(1, len(c))] + [before + n] if self._p.special(c) else [before + m for m in self._p.inside(c)[1:]]
+            out += inner
+            at, before = at + len(c), before + n
+        return out
 
     def _locate(self, chars: int) -> tuple[int, int, int]:
         """Chunk that holds the character before ``chars``, where it starts, tokens before it."""
@@ -170,7 +248,7 @@ class PrefixTable:
             if at + len(c) >= chars:
                 return k, at, tokens
             at += len(c)
-            tokens += self._tokens[k]
+            tokens += self.tokens[k]
         raise IndexError(chars)
 
     def count_at(self, chars: int) -> int:
@@ -180,7 +258,7 @@ class PrefixTable:
         k, at, tokens = self._locate(chars)
         c = self._chunks[k]
         if chars == at + len(c):
-            return tokens + self._tokens[k]
+            return tokens + self.tokens[k]
         if self._p.special(c):  # a part of a special string is ordinary text and may join what is before it
             return PrefixTable(self._p, self.text[:chars]).total
         return tokens + self._p.inside(c)[chars - at]
@@ -190,7 +268,7 @@ class PrefixTable:
         if self.total <= budget:
             return len(self.text)
         at = tokens = 0
-        for c, n in zip(self._chunks, self._tokens, strict=True):
+        for c, n in zip(self._chunks, self.tokens, strict=True):
             if tokens + n > budget:
                 inner = self._p.inside(c) if not self._p.special(c) else [0]
                 return at + max(j for j, m in enumerate(inner) if tokens + m <= budget)
@@ -203,7 +281,7 @@ def answers(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id",
     """doc_id, n_bytes, n_tokens, over_limit, chars_within_limit for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = Prefixes(tokenizer)
+        prefixes = prefixes_of(tokenizer)
         for batch in batches:
             rows = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -217,15 +295,15 @@ def answers(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ANSWERS)
 
 
-def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ends (characters) and counts (tokens) at every chunk end: the stored table, for later budget questions."""
+def prefix_tables(docs: DataFrame, tokenizer: str, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ends (characters) and counts (tokens) at every chunk end, or with ``every`` after every character: the stored table, for later budget questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = Prefixes(tokenizer)
+        prefixes = prefixes_of(tokenizer)
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = prefixes.table(value.as_py() or "")
-                ends, counts = np.cumsum([len(c) for c in t._chunks], dtype=np.int64), np.cumsum(t._tokens, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["doc_id", "ends", "counts"])
+                ends, counts = (range(1, len(t.text) + 1), t.everywhere()) if every else (t.ends(), np.cumsum(t.tokens, dtype=np.int64).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([list(ends)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], ["doc_id", "ends", "counts"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, ends array<long>, counts array<long>")

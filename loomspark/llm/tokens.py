@@ -5,7 +5,16 @@ from __future__ import annotations
 import functools
 import re
 
-DEFAULT_FOLDER = "/opt/tokenizers"
+
+def path(name: str, folder: str | None = None) -> str:
+    """A tokenizer file in ``folder``, or where the package of public tokenizers keeps it."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: Entries a cache may hold in one worker before its younger half goes.
 CACHE_LIMIT = 300_000
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import decontaminate, hmm, packing, pii, quality, reply_trees, site_tree, token_counts
 from loomspark.llm.queries import ORACLE_SQL, QUERIES
-from loomspark.llm.tokens import DEFAULT_FOLDER, WordIds, load
+from loomspark.llm.tokens import WordIds, load, path
 
 DOC = "doc_id long, text string"
-BYTES, WORDS = f"{DEFAULT_FOLDER}/byte_bpe_50k.json", f"{DEFAULT_FOLDER}/word_bpe_49k.json"
+BYTES, WORDS = path("byte_bpe_50k.json"), path("word_bpe_49k.json")
 ODD = [
     "", "  a  b\t \n c\r\n\r\n d\xa0 e \x1ca!\x1cb \x1c c", "it's 're  'r we'll x<|endoftext|>y <|endoft <|endoftext|>", "　 a   b\x85 c", "a" * 500,
     "\U0001f600 é é \n\n\n  ", "'r 'v'e 12345 !!!??? \t\t x   ", "<|startoftext|>İΣß ﬁ Ａ",
@@ -54,10 +54,28 @@ def test_prefix_counts_equal_the_library():
         counts = [count(t[:i]) for i in range(len(t) + 1)]
         assert table.total == counts[-1]
         assert [table.count_at(i) for i in range(len(t) + 1)] == counts
+        assert table.everywhere() == counts[1:]
         for budget in (0, 1, 3, 7):
             assert table.longest_within(budget) == max(i for i, c in enumerate(counts) if c <= budget)
 
 
+def test_counts_come_from_the_tables(sf):
+    """Once the merges are read, nothing is encoded: counts are last entries of prefix tables."""
+    import pyarrow.parquet as pq
+
+    class NoEncoder:
+        pre_tokenizer = load(BYTES).pre_tokenizer
+
+    prefixes = token_counts.Prefixes(BYTES)
+    prefixes.tokenizer = NoEncoder
+    texts = odd_texts(150) + pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    want = [len(e.ids) for e in load(BYTES).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [prefixes.table(t or "").total for t in texts] == want
+    piece = " unbelievably"
+    table = prefixes.piece(token_counts.as_bytes(piece))
+    assert table == [len(load(BYTES).encode(piece[:i], add_special_tokens=False).ids) for i in range(len(piece) + 1)] and prefixes.plain(piece) == table[-1]
+
+
 def test_token_answers(spark):
     rows = [(1, None), (2, ""), (3, "word " * 600), (4, "ab"), (4, "ab"), (None, "é")]
     got = token_counts.answers(spark.createDataFrame([(i, t, 0) for i, t in rows], DOC + ", n_tokens int"), BYTES, 512).collect()
@@ -65,6 +83,9 @@ def test_token_answers(spark):
     assert [r.chars_within_limit for r in got if r.doc_id == 3] == [len("word" + " word" * 511)]
     tables = token_counts.prefix_tables(spark.createDataFrame([(1, "one two")], DOC), BYTES).first()
     assert tables.ends == [3, 7] and tables.counts == [1, 2]
+    every = token_counts.prefix_tables(spark.createDataFrame([(1, "one two")], DOC), BYTES, every=True).first()
+    assert every.ends == list(range(1, 8)) and every.counts[2] == 1 and every.counts[-1] == 2
+    assert token_counts.answers(spark.createDataFrame([], DOC), BYTES, 512).count() == 0
 
 
 def test_packing_is_a_partition(spark, sf):
