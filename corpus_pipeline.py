@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import decontaminate, exact_dedup, ngram_join, packing, quality
 from loomspark.llm.scratch import Scratch
-from loomspark.llm.tokens import DEFAULT_FOLDER
+from loomspark.llm.tokens import path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,7 +40,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 4096."""
-    return packing.pack(docs, f"{DEFAULT_FOLDER}/word_bpe_49k.json", end_id=2, width=4096)
+    return packing.pack(docs, path("word_bpe_49k.json"), end_id=2, width=4096)
 
 
 STAGES: list[tuple[str, Stage]] = [
