@@ -1,28 +1,40 @@
 """Language-model scoring with a hidden Markov model over words.
 
 Counting.  Each task counts its words and sends a row per distinct word; the sums
-give the unigram base exactly.  The ``top`` most frequent words (a fixed number)
-travel to the tasks as a dictionary; every rarer word's count is looked up by a
-join, so no vocabulary has to fit anywhere.
+give the unigram base exactly, and one more row per task counts its texts.  Words that
+make up at least ``share`` of all training tokens travel to the tasks: at most
+``1 / share`` words, whatever the corpus.  All other words stay in a table.
 
 Training.  Texts become word numbers once, in a table.  Baum-Welch runs over all
-training texts in segments of at most ``segment`` tokens: each task sums expected
-counts for its segments and sends them in blocks, which are added up in a fixed
-order.  The ``emit`` most frequent words have emissions of their own; all others
-share one emission, below which the unigram counts tell them apart.
+whole training texts: each task sums expected counts and sends them in blocks, which
+are added up in two levels.  Long texts are cut into segments that run side by side;
+the matrix that carries a state distribution through a segment gives each one what it
+would have got from its neighbours, so nothing is lost at the cuts.
 
-Scoring.  The scaled forward recursion runs over whole texts, all texts of a batch
-in step, so the likelihood is exact for any length.
+Every word has emissions of its own.  Those of the words that travel change with each
+pass.  All others share one emission in the first passes; the last one also sums the
+expected counts of each of them, a table of words by states that grows with the
+vocabulary.  With g(w, k) uses of word w in state k, c(w) in all and p(k) the share of
+state k in all uses of such words (G, of ``kinds`` words), its part of their emission is
+
+    e(w | k) = (h(w, k) + 1) / (G + kinds + 1),   h = (g(w, k) / p(k) + prior c(w)) / (1 + prior),
+
+which adds up to 1 over all words and the unseen one, as the base does.
+
+Scoring.  The scaled forward recursion runs over whole texts in the same way.  The
+table of the other words is joined to the texts that hold them.
 
 Cases: null and empty texts are the end token alone; repeated rows are scored (and
 learned from) each; a null doc_id counts as training; without training texts every
-token has the unseen probability; an empty table gives an empty result.
+token has the unseen probability; very long texts are whole, too, and may fill a group
+of their own; ties in counts are broken by the word; columns besides id and text are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +46,9 @@ from .scratch import Scratch
 
 _FLUSH = 300_000  # distinct words that a task's counter holds at most
 _BLOCK = 8192  # numbers in one row of expected counts
+_LANES = 256  # tasks whose blocks are added up first
+_SEGMENT = 2048  # tokens of a text that run in one go
+_GROUP = 1_000_000  # tokens that are looked at together, or one longer text
 
 
 def held_out(ids: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -46,10 +61,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, c) over all texts."""
+    """(word, c) over all texts; the row of the null word has the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts: Counter[bytes | None] = Counter()
 
         def rows() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
@@ -61,13 +76,15 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 counts.update(words_of(value.as_py()))
                 if len(counts) > _FLUSH:
                     yield rows()
+            if batch.num_rows:
+                counts[None] += batch.num_rows
         yield rows()
 
     return docs.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, held, ids, tail, tail_n): numbers of known words (-1: others), and the others with their counts."""
+def number_words(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, doc_id, held, ids, tail, tail_n): numbers of known words; -1 - j stands for the text's other word j, of tail."""
     known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +94,13 @@ def _numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str) -
             for value in batch.column(3):
                 said = words_of(value.as_py())
                 ids = np.fromiter((get(w, -1) for w in said), np.int32, len(said))
-                rare = Counter([said[i] for i in np.flatnonzero(ids < 0)])
+                rare: dict[bytes, int] = {}
+                at = np.flatnonzero(ids < 0)
+                if len(at):
+                    ids[at] = [-1 - rare.setdefault(said[i], len(rare)) for i in at.tolist()]
                 lists.append(ids)
-                tails.append(list(rare.keys()))
-                tail_n.append(list(rare.values()))
+                tails.append(list(rare))
+                tail_n.append(np.bincount(-1 - ids[at], minlength=len(rare)).tolist())
             if lists:
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
@@ -92,7 +112,7 @@ def _numbered(docs: DataFrame, words: list[bytes], id_col: str, text_col: str) -
 
 @dataclass
 class Hmm:
-    """start (K), move (K, K) and emit (V + 3, K): words, the rare class V, the end V + 1, and padding V + 2."""
+    """start (K), move (K, K) and emit (V + 2, K): words, the others in all (V), the end (V + 1)."""
 
     start: np.ndarray
     move: np.ndarray
@@ -100,10 +120,11 @@ class Hmm:
 
     @property
     def words(self) -> int:
-        return len(self.emit) - 3
+        return len(self.emit) - 2
 
     def symbols(self, ids: np.ndarray) -> np.ndarray:
-        return np.where((ids < 0) | (ids >= self.words), self.words, ids)
+        """The text's rows of ``emit``, with its end."""
+        return np.append(np.where(ids < 0, self.words, ids), self.words + 1)
 
 
 def first_model(unigram: np.ndarray, states: int, seed: int = 7) -> Hmm:
@@ -113,61 +134,126 @@ def first_model(unigram: np.ndarray, states: int, seed: int = 7) -> Hmm:
     emit /= emit.sum(0)
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    return Hmm(np.full(states, 1 / states), move, np.vstack([emit, np.ones((1, states))]))
+    return Hmm(np.full(states, 1 / states), move, emit)
 
 
-def expected_counts(model: Hmm, segments: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of padded segments (time by segment): start, move, emit, and the log-likelihood.
+class Sweep:
+    """Forward and backward through several texts, one token of each segment at a time, the longest first.
 
-    ``firsts`` marks the segments that begin a text; others begin anywhere.
+    ``texts`` hold rows of ``table`` (emissions).  By segment, ``first`` tells which begin
+    a text, and ``before`` where the one before it is.
     """
-    steps, many = segments.shape
-    k, pad = len(model.start), len(model.emit) - 1
-    move, table = model.move.astype(np.float32), model.emit.astype(np.float32)
-    alpha, scale = np.empty((steps, many, k), np.float32), np.empty((steps, many), np.float32)
-    now = np.where(firsts[:, None], model.start, 1 / k).astype(np.float32)
-    for t in range(steps):
-        now = (now if t == 0 else now @ move) * table[segments[t]]
-        scale[t] = now.sum(1) + 1e-30
-        now /= scale[t][:, None]
-        alpha[t] = now
-    pairs, beta = np.zeros((k, k)), np.ones((many, k), np.float32)
-    for t in range(steps - 1, 0, -1):
-        there = table[segments[t]] * beta / scale[t][:, None]
-        real = segments[t] != pad
-        pairs += alpha[t - 1][real].T.astype(np.float64) @ there[real]
-        alpha[t] *= beta
-        beta = there @ move.T
-    alpha[0] *= beta
-    alpha /= alpha.sum(2, keepdims=True) + 1e-30
-    flat, ids = alpha.reshape(-1, k), segments.ravel()
-    emit = np.stack([np.bincount(ids, flat[:, j], len(model.emit)) for j in range(k)], axis=1)
-    emit[pad] = 0
-    return alpha[0][firsts].sum(0, dtype=np.float64), pairs * model.move, emit, float(np.log(scale[segments != pad]).sum(dtype=np.float64))
-
-
-def _segments(model: Hmm, lists: list[np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts with their ends, cut and padded, about half a million tokens at a time."""
-    end, pad, room = model.words + 1, model.words + 2, 500_000 // length
-    held: list[np.ndarray] = []
-    firsts: list[bool] = []
-
-    def out() -> tuple[np.ndarray, np.ndarray]:
-        made = np.full((len(held), length), pad, np.int64)
-        for i, s in enumerate(held):
-            made[i, : len(s)] = s
-        return np.ascontiguousarray(made.T), np.array(firsts)
-
-    for ids in lists:
-        said = np.append(model.symbols(ids), end)
-        for at in range(0, len(said), length):
-            held.append(said[at : at + length])
-            firsts.append(at == 0)
-            if len(held) == room:
-                yield out()
-                held, firsts = [], []
+
+    def __init__(self, model: Hmm, texts: list[np.ndarray], table: np.ndarray, segment: int = _SEGMENT):
+        self.start, self.move, self.table = model.start.astype(np.float32), model.move.astype(np.float32), np.ascontiguousarray(table, np.float32)
+        sizes = np.array([len(x) for x in texts])
+        parts = -(-sizes // segment)
+        text = np.repeat(np.arange(len(texts)), parts)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        lens = np.minimum(segment, sizes[text] - part * segment)
+        order = np.argsort(-lens, kind="stable")
+        self.rank = np.empty(len(order), np.int64)  # where each segment, in the order of the texts, has gone
+        self.rank[order] = np.arange(len(order))
+        self.text, self.first, self.lens = text[order], part[order] == 0, lens[order]
+        self.before = np.where(self.first, -1, self.rank[np.maximum(order - 1, 0)])
+        self.active = np.searchsorted(-self.lens, -np.arange(int(self.lens[0])), side="left")  # segments longer than t
+        self.off = np.concatenate([[0], np.cumsum(self.active)])
+        row = np.repeat(self.rank, lens)
+        t = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+        self.place = self.off[t] + row  # of each token, in the order of the texts
+        self.symbols = np.empty(len(row), np.int64)
+        self.symbols[self.place] = np.concatenate(texts)
+        self.ones = np.ones(len(self.start), np.float32)
+        self._matrices()
+
+    def _emitted(self, at: np.ndarray | slice) -> np.ndarray:
+        return np.take(self.table, self.symbols[at], axis=0)
+
+    def _matrices(self) -> None:
+        """What each segment that continues a text makes of a distribution, up to a factor."""
+        k, more = len(self.start), np.flatnonzero(~self.first)
+        self.where = np.full(len(self.first), -1)
+        self.where[more] = np.arange(len(more))
+        x, lens = np.tile(np.eye(k, dtype=np.float32), (len(more), 1, 1)), self.lens[more]
+        for t in range(int(lens[0]) if len(more) else 0):
+            n = int(np.searchsorted(-lens, -t, side="left"))
+            now = x[:n] if t == 0 else (x[:n].reshape(n * k, k) @ self.move).reshape(n, k, k)
+            now = now * self._emitted(self.off[t] + more[:n])[:, None, :]
+            x[:n] = now / (now.reshape(n, k * k).sum(1) + 1e-30)[:, None, None]
+        self.matrix = x
+
+    def _run(self, enter: np.ndarray, rows: np.ndarray) -> None:
+        """Forward through the segments at ``rows``, each from its row of ``enter``."""
+        lens, now, whole = self.lens[rows], enter, len(rows) == len(self.lens)
+        for t in range(int(lens[0]) if len(rows) else 0):
+            n, at = int(np.searchsorted(-lens, -t, side="left")), self.off[t]
+            here = slice(at, at + n) if whole else at + rows[:n]
+            now = (now[:n] if t == 0 else now[:n] @ self.move) * self._emitted(here)
+            scale = now @ self.ones + np.float32(1e-30)
+            now /= scale[:, None]
+            self.alpha[here], self.scale[here] = now, scale
+
+    def forward(self) -> np.ndarray:
+        """Fills ``alpha`` and ``scale``, a row per token; returns the natural log-likelihood of each text."""
+        self.alpha, self.scale = np.empty((len(self.symbols), len(self.start)), np.float32), np.empty(len(self.symbols), np.float32)
+        self.ends = self.off[self.lens - 1] + np.arange(len(self.lens))
+        firsts, more = np.flatnonzero(self.first), np.flatnonzero(~self.first)
+        self._run(np.tile(self.start, (len(firsts), 1)), firsts)
+        enter, end = np.zeros((len(self.lens), len(self.start)), np.float32), {}
+        for s in self.rank[np.flatnonzero(~self.first[self.rank])].tolist():  # a text's segments in turn
+            b = int(self.before[s])
+            enter[s] = (self.alpha[self.ends[b]] if self.first[b] else end[b]) @ self.move
+            end[s] = enter[s] @ self.matrix[self.where[s]]
+            end[s] /= end[s].sum() + 1e-30
+        self._run(enter[more], more)
+        logs, sizes = np.log(self.scale[self.place], dtype=np.float64), np.bincount(self.text, self.lens).astype(np.int64)
+        return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+
+    def backward(self) -> np.ndarray:
+        """Turns ``alpha`` into the tokens' state probabilities; returns the expected moves."""
+        k = len(self.start)
+        ends = self.ends
+        leave = np.ones((len(self.lens), k), np.float32)
+        for s in self.rank[::-1][np.flatnonzero(~self.first[self.rank[::-1]])]:  # from the last segment of each text
+            got = self.move @ (self.matrix[self.where[s]] @ leave[s])
+            b = self.before[s]
+            leave[b] = got / (self.alpha[ends[b]] @ got + 1e-30)
+        crossing = self.alpha[ends[self.before[~self.first]]]
+        pairs, beta, there = np.zeros((k, k)), leave[:0], leave[:0]
+        back = np.ascontiguousarray(self.move.T)
+        for t in range(len(self.active) - 1, -1, -1):
+            at, n, m = self.off[t], int(self.active[t]), len(there)
+            alpha = self.alpha[at : at + n]
+            if m:
+                pairs += alpha[:m].T @ there
+            beta = np.concatenate([there @ back, leave[m:n]])
+            there = self._emitted(slice(at, at + n)) * beta
+            there /= self.scale[at : at + n, None]
+            alpha *= beta
+        pairs += crossing.T @ there[~self.first]
+        return pairs * self.move
+
+
+def expected_counts(model: Hmm, texts: list[np.ndarray], segment: int = _SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, Sweep]:
+    """Baum-Welch counts of whole texts (rows of ``emit``): start, move, emit, the log-likelihood, and the sweep with the tokens' state probabilities."""
+    sweep = Sweep(model, texts, model.emit, segment)
+    total = float(sweep.forward().sum())
+    pairs = sweep.backward()
+    emit = np.stack([np.bincount(sweep.symbols, sweep.alpha[:, j], len(model.emit)) for j in range(len(model.start))], axis=1)
+    return sweep.alpha[: len(sweep.first)][sweep.first].sum(0, dtype=np.float64), pairs, emit, total, sweep
+
+
+def _groups(lists: list[np.ndarray], most: int = _GROUP) -> Iterator[np.ndarray]:
+    """Places of texts of similar lengths with at most ``most`` tokens, or one text that has more."""
+    held, tokens = [], 0
+    for i in np.argsort([-len(x) for x in lists], kind="stable"):
+        if held and tokens + len(lists[i]) + 1 > most:
+            yield np.array(held)
+            held, tokens = [], 0
+        held.append(i)
+        tokens += len(lists[i]) + 1
     if held:
-        yield out()
+        yield np.array(held)
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -175,68 +261,87 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _iterate(numbered: DataFrame, model: Hmm, segment: int, unigram: np.ndarray) -> tuple[Hmm, float]:
-    """One pass of Baum-Welch over all training texts."""
-    spark = numbered.sparkSession
-    shared, k = spark.sparkContext.broadcast(model), len(model.start)
+def _sum_blocks(sent: DataFrame) -> DataFrame:
+    """(block, v) from (block, task, v): added up by lanes of tasks, then over lanes, in a fixed order."""
+
+    def add(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total = None, None
+
+            def row() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "task", "v"])
+
+            for batch in batches:
+                for b, lane, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    part = np.frombuffer(v.as_buffer(), kind).astype(np.float64)
+                    if (b, lane) == key:
+                        total += part
+                        continue
+                    if key is not None:
+                        yield row()
+                    key, total = (b, lane), part
+            if key is not None:
+                yield row()
+
+        return run
+
+    schema = "block int, task int, v binary"
+    lanes = sent.withColumn("lane", F.expr(f"task div {_LANES}").cast("int")).repartition("block", "lane").sortWithinPartitions("block", "lane", "task")
+    first = lanes.select("block", "lane", "v").mapInArrow(add(np.float32), schema)
+    second = first.repartition("block").sortWithinPartitions("block", "task").select("block", F.lit(0).alias("lane"), "v")
+    return second.mapInArrow(add(np.float64), schema).select("block", "v")
+
+
+def e_step(numbered: DataFrame, model: Hmm, tail: bool = False, segment: int = _SEGMENT) -> DataFrame:
+    """Expected counts of all training texts: rows (block, task, v), and with ``tail`` rows (word, g) of the words that don't travel."""
+    shared, k = numbered.sparkSession.sparkContext.broadcast(model), len(model.start)
     width = k + k * k + len(model.emit) * k + 1
-    blocks = -(-width // _BLOCK)
+    names = ["block", "task", "v", "word", "g"]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+
+    def rows(*columns: object) -> pa.RecordBatch:
+        size = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, total = shared.value, np.zeros(width)
         for batch in batches:
-            for segs, firsts in _segments(mine, _lists(batch.column(0)), segment):
-                start, pairs, emit, ll = expected_counts(mine, segs, firsts)
+            lists = _lists(batch.column(0))
+            words = batch.column(1).flatten().dictionary_encode() if tail else None
+            if tail:
+                codes, bases = words.indices.to_numpy(), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+                g = np.zeros((k, len(words.dictionary)))
+            for held in _groups(lists):
+                start, pairs, emit, ll, sweep = expected_counts(mine, [mine.symbols(lists[i]) for i in held], segment)
                 total += np.concatenate([start, pairs.ravel(), emit.ravel(), [ll]])
-        task = TaskContext.get().partitionId()
-        values = [total[b * _BLOCK : (b + 1) * _BLOCK].astype(np.float32).tobytes() for b in range(blocks)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([task] * blocks, pa.int32()), pa.array(values, pa.binary())], ["block", "task", "v"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = None, None
-        for batch in batches:
-            for b, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(v.as_buffer(), np.float32).astype(float)
-                if b == block:
-                    total = total + part
-                    continue
-                if block is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "v"])
-                block, total = b, part
-        if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "v"])
-
-    sent = numbered.where(~F.col("held")).select("ids").mapInArrow(count, "block int, task int, v binary")
-    summed = sent.repartition("block").sortWithinPartitions("block", "task").select("block", "v").mapInArrow(add, "block int, v binary").toArrow()
-    parts = dict(zip(summed["block"].to_pylist(), summed["v"].to_pylist(), strict=True))  # the size of one model
-    got = np.concatenate([np.frombuffer(parts[b]) for b in range(blocks)]) if parts else np.zeros(width)
-    start, pairs, emit = got[:k] + 1, got[k : k + k * k].reshape(k, k) + 1, got[k + k * k : -1].reshape(-1, k)[:-1] + 50 * unigram[:, None]
-    return Hmm(start / start.sum(), pairs / pairs.sum(1, keepdims=True), np.vstack([emit / emit.sum(0), np.ones((1, k))])), float(got[-1])
-
-
-def forward(model: Hmm, lists: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of whole texts (with their ends) by the scaled forward recursion, all texts in step."""
-    said = [np.append(model.symbols(x), model.words + 1) for x in lists]
-    order = np.argsort([-len(x) for x in said], kind="stable")
-    sizes = np.array([len(said[i]) for i in order])
-    flat, starts = np.concatenate([said[i] for i in order]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    out, now = np.zeros(len(said)), np.tile(model.start, (len(said), 1))
-    n = len(said)
-    for t in range(int(sizes[0])):
-        while sizes[n - 1] <= t:
-            n -= 1
-        now = (now[:n] if t == 0 else now[:n] @ model.move) * model.emit[flat[starts[:n] + t]]
-        scale = now.sum(1)
-        out[:n] += np.log10(scale)
-        now /= scale[:, None]
-    result = np.empty(len(said))
-    result[order] = out
-    return result
-
-
-def _scored(numbered: DataFrame, model: Hmm, logs: np.ndarray) -> DataFrame:
-    """What is known without rare words: (rid, .., n_words, hmm, in_top, top_log, low_n, low_log)."""
-    shared = numbered.sparkSession.sparkContext.broadcast((model, logs))
+                if tail:
+                    said = np.concatenate([np.append(np.where(lists[i] < 0, bases[i] - 1 - lists[i], -1), -1) for i in held])
+                    at = np.flatnonzero(said >= 0)
+                    states, code = sweep.alpha[sweep.place[at]], codes[said[at]]
+                    for j in range(k):
+                        g[j] += np.bincount(code, states[:, j], g.shape[1])
+            if tail and g.size:
+                ends = np.arange(0, g.size + 1, k, dtype=np.int32)
+                yield rows(None, None, None, words.dictionary, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(g.T).ravel())))
+        blocks, task = -(-width // _BLOCK), TaskContext.get().partitionId()
+        yield rows(range(blocks), [task] * blocks, [total[b * _BLOCK : (b + 1) * _BLOCK].astype(np.float32).tobytes() for b in range(blocks)], None, None)
+
+    return numbered.where(~F.col("held")).select("ids", "tail").mapInArrow(run, "block int, task int, v binary, word binary, g array<double>")
+
+
+def m_step(sent: DataFrame, model: Hmm, unigram: np.ndarray) -> tuple[Hmm, float]:
+    """The model that the counts give, and the log-likelihood under the one before."""
+    k = len(model.start)
+    summed = _sum_blocks(sent.where(F.col("block").isNotNull()).select("block", "task", "v")).toArrow()  # the size of one model
+    parts = dict(zip(summed["block"].to_pylist(), summed["v"].to_pylist(), strict=True))
+    got = np.concatenate([np.frombuffer(parts[b]) for b in sorted(parts)]) if parts else np.zeros(k + k * k + len(model.emit) * k + 1)
+    start, pairs, emit = got[:k] + 1, got[k : k + k * k].reshape(k, k) + 1, got[k + k * k : -1].reshape(-1, k) + 50 * unigram[:, None]
+    return Hmm(start / start.sum(), pairs / pairs.sum(1, keepdims=True), emit / emit.sum(0)), float(got[-1])
+
+
+def _scored(texts: DataFrame, model: Hmm, logs: np.ndarray, segment: int = _SEGMENT) -> DataFrame:
+    """(doc_id, held, tail, n_words, hmm, in_top, top_log); ``tail_e`` has the emissions of the text's other words within their class, one after the other."""
+    shared, k = texts.sparkSession.sparkContext.broadcast((model, logs)), len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, log = shared.value
@@ -244,62 +349,78 @@ def _scored(numbered: DataFrame, model: Hmm, logs: np.ndarray) -> DataFrame:
             lists = _lists(batch.column(3))
             if not lists:
                 continue
-            rows = []
-            for ids in lists:
-                top = ids[ids >= 0]
-                low = top[top >= mine.words]
-                rows.append((len(ids), len(top), float(log[top].sum()), len(low), float(log[low].sum())))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(forward(mine, lists)), *made], ["rid", "doc_id", "held", "hmm", "n_words", "in_top", "top_log", "low_n", "low_log"])
-
-    schema = "rid long, doc_id long, held boolean, hmm double, n_words long, in_top long, top_log double, low_n long, low_log double"
-    return numbered.select("rid", "doc_id", "held", "ids").mapInArrow(run, schema)
+            tails = _lists(batch.column(4))
+            score = np.empty(len(lists))
+            for held in _groups(lists):
+                own = [tails[i].reshape(-1, k) for i in held]
+                bases = np.cumsum([len(mine.emit), *map(len, own)])
+                table = np.vstack([mine.emit, *[mine.emit[mine.words] * x for x in own]])
+                texts = [np.append(np.where(lists[i] < 0, b - 1 - lists[i], lists[i]), mine.words + 1) for i, b in zip(held, bases, strict=False)]
+                score[held] = Sweep(mine, texts, table, segment).forward() / np.log(10)
+            rows = [(len(x), len(top := x[x >= 0]), float(log[top].sum())) for x in lists]
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.float64()], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score), *made], ["doc_id", "held", "tail", "hmm", "n_words", "in_top", "top_log"])
+
+    schema = "doc_id long, held boolean, tail struct<log:double,known:long>, hmm double, n_words long, in_top long, top_log double"
+    return texts.select("doc_id", "held", "tail", "ids", "tail_e").mapInArrow(run, schema)
 
 
 def score(
     docs: DataFrame,
     states: int = 8,
-    emit: int = 50_000,
-    top: int = 200_000,
+    share: float = 1e-6,
     passes: int = 5,
-    segment: int = 128,
+    prior: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(docs.sparkSession, "hmm")
-    training = docs.where(~held_out(F.col(id_col)))
-    counts = scratch.save(word_counts(training, text_col))
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    texts = training.count()
+    counted = scratch.save(word_counts(docs.where(~held_out(F.col(id_col))), text_col))
+    counts = counted.where(F.col("word").isNotNull())
+    is_word = F.col("word").isNotNull().cast("long")
+    sums = counted.agg(F.coalesce(F.sum(is_word * F.col("c")), F.lit(0)).alias("n"), F.coalesce(F.sum(is_word), F.lit(0)).alias("v"), F.coalesce(F.sum((1 - is_word) * F.col("c")), F.lit(0)).alias("texts")).first()
+    texts = sums["texts"]
     n, v = sums["n"] + texts, sums["v"] + (1 if texts else 0)  # the end is a token too
-    first = counts.orderBy(F.desc("c"), "word").limit(top).toArrow()  # ``top`` rows: a fixed bound
+    many = F.col("c") >= F.lit(share * n)
+    first = counts.where(many).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # 1 / share rows at most
     words, c = first["word"].to_pylist(), first["c"].to_numpy().astype(float)
     del first
-    numbered = scratch.save(_numbered(docs, words, id_col, text_col))
-    own = min(emit, len(words))
-    rare, kinds = sums["n"] - c[:own].sum(), sums["v"] - own
-    unigram = np.concatenate([c[:own], [rare + 1, texts + 1]])
+    numbered = scratch.save(number_words(docs, words, id_col, text_col))
+    rest, kinds = sums["n"] - c.sum(), sums["v"] - len(words)
+    unigram = np.concatenate([c, [rest + 1, texts + 1]])
     unigram /= unigram.sum()
     model = first_model(unigram, states)
-    for _ in range(passes):
-        model, _ = _iterate(numbered, model, segment, unigram)
-    base = _scored(numbered, model, np.log10(c + 1))
-    tail = numbered.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("k"))
-    found = tail.join(counts, "word", "left")
-    per_doc = found.groupBy("rid").agg(
+    for _ in range(passes - 1):
+        model, _ = m_step(e_step(numbered, model), model, unigram)
+    last = scratch.save(e_step(numbered, model, tail=True))
+    model, _ = m_step(last, model, unigram)
+    below = float(rest + kinds + 1)
+    names = [f"g{j}" for j in range(states)]
+    used = scratch.save(last.where(F.col("word").isNotNull()).groupBy("word").agg(*[F.sum(F.col("g")[j]).alias(x) for j, x in enumerate(names)]))
+    got = used.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in names]).first()
+    uses = [(got[x] + 1e-9) / (sum(got) + states * 1e-9) for x in names]  # shares of the states
+    within = [((F.coalesce(x, F.lit(0.0)) / p + prior * F.col("c")) / (1 + prior) + 1) / below for x, p in zip(names, uses, strict=True)]
+    rare = counts.where(~many).join(used, "word", "left").select("word", "c", F.array(*[x.cast("float") for x in within]).alias("e"))
+    spread = numbered.select("rid", F.posexplode(F.arrays_zip("tail", "tail_n")).alias("j", "x")).select("rid", "j", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("k"))
+    found = spread.join(rare, "word", "left")
+    per_text = found.groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)).cast("double") + 1)).alias("tail_log"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"),
+        F.sort_array(F.collect_list(F.struct("j", F.coalesce("e", F.array_repeat(F.lit(1 / below).cast("float"), states)).alias("e")))).alias("es"),  # of one text
     )
-    joined = base.join(per_doc, "rid", "left").withColumns({"tail_log": F.coalesce("tail_log", F.lit(0.0)), "tail_known": F.coalesce("tail_known", F.lit(0).cast("long"))})
+    wide = numbered.select("rid", "doc_id", "held", "ids").join(per_text, "rid", "left").select(
+        "doc_id", "held", "ids",
+        F.struct(F.coalesce("tail_log", F.lit(0.0)).alias("log"), F.coalesce("tail_known", F.lit(0).cast("long")).alias("known")).alias("tail"),
+        F.coalesce(F.flatten("es.e"), F.array().cast("array<float>")).alias("tail_e"),
+    )
     tokens = F.col("n_words") + 1
-    n_rare = F.col("n_words") - F.col("in_top") + F.col("low_n")
-    return joined.select(
+    return _scored(wide, model, np.log10(c + 1)).select(
         "doc_id",
         F.col("held").alias("held_out"),
         tokens.alias("n_tokens"),
-        (F.col("in_top") + F.col("tail_known") + (1 if texts else 0)).alias("n_known"),
+        (F.col("in_top") + F.col("tail.known") + (1 if texts else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("top_log") + F.col("tail_log") + float(np.log10(texts + 1)) - tokens * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("hmm") + F.col("low_log") + F.col("tail_log") - n_rare * float(np.log10(rare + kinds + 1))).alias("score"),
+        (F.col("top_log") + F.col("tail.log") + float(np.log10(texts + 1)) - tokens * float(np.log10(n + v + 1))).alias("base_score"),
+        F.col("hmm").alias("score"),
     )

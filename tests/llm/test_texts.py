@@ -350,33 +350,88 @@ def test_additive_model_learns_an_interaction():
     assert (0, 3) in model.pairs and ((model.score(x[3_000:]) > 0.5) == y[3_000:]).mean() > 0.9
 
 
-def naive_likelihood(model, ids):
-    p = model.start * model.emit[ids[0]]
+def naive(model, ids):
+    """Likelihood, state probabilities and expected moves, with no scaling."""
+    a, b = [model.start * model.emit[ids[0]]], [np.ones(len(model.start))]
     for i in ids[1:]:
-        p = (p @ model.move) * model.emit[i]
-    return math.log10(p.sum())
+        a.append((a[-1] @ model.move) * model.emit[i])
+    for i in reversed(ids[1:]):
+        b.insert(0, model.move @ (model.emit[i] * b[0]))
+    p = a[-1].sum()
+    pairs = sum((np.outer(a[t], model.emit[i] * b[t + 1]) * model.move / p for t, i in enumerate(ids[1:])), np.zeros(model.move.shape))
+    return p, np.array(a) * np.array(b) / p, pairs
 
 
-def test_forward_is_exact():
+@pytest.mark.parametrize("segment", [1, 3, 8, 2048])
+def test_expected_counts_are_exact(segment):
+    """Cuts lose nothing."""
     rng = np.random.default_rng(2)
     model = hmm.first_model(np.array([0.4, 0.3, 0.2, 0.06, 0.04]), 3)
-    lists = [rng.integers(-1, 4, rng.integers(0, 30)).astype(np.int32) for _ in range(20)]
-    for ids, got in zip(lists, hmm.forward(model, lists), strict=True):
-        assert got == pytest.approx(naive_likelihood(model, np.append(model.symbols(ids), model.words + 1)))
+    model.move[:], model.start[:] = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
+    texts = [model.symbols(rng.integers(-1, 3, n).astype(np.int32)) for n in [0, 0, 1, 2, 3, 7, 8, 9, 16, 17, 40, *rng.integers(0, 30, 20)]]
+    start, pairs, emit, ll, sweep = hmm.expected_counts(model, texts, segment)
+    want = [naive(model, x) for x in texts]
+    assert start == pytest.approx(sum(g[0] for _, g, _ in want), rel=1e-4) and ll == pytest.approx(sum(math.log(p) for p, _, _ in want), rel=1e-5)
+    assert pairs == pytest.approx(sum(m for _, _, m in want), rel=1e-4)
+    counts = np.zeros(model.emit.shape)
+    for x, (_, g, _) in zip(texts, want, strict=True):
+        np.add.at(counts, x, g)
+    assert emit == pytest.approx(counts, rel=1e-4, abs=1e-5)
+    assert hmm.Sweep(model, texts, model.emit, segment).forward() == pytest.approx([math.log(p) for p, _, _ in want], rel=1e-5)
 
 
 def test_baum_welch_raises_the_likelihood(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    counts = hmm.word_counts(docs).orderBy(F.desc("c"), "word").limit(500).collect()
+    counts = hmm.word_counts(docs).where("word is not null").orderBy(F.desc("c"), "word").limit(500).collect()
     c = np.array([r.c for r in counts], float)
-    numbered = hmm._numbered(docs, [bytes(r.word) for r in counts], "doc_id", "text").cache()
+    numbered = hmm.number_words(docs, [bytes(r.word) for r in counts]).cache()
     unigram = np.concatenate([c, [10_000, 200]]) / (c.sum() + 10_200)
     model, seen = hmm.first_model(unigram, 4), []
     for _ in range(4):
-        model, ll = hmm._iterate(numbered, model, 128, unigram)
+        model, ll = hmm.m_step(hmm.e_step(numbered, model), model, unigram)
         seen.append(ll)
     assert seen == sorted(seen)
-    assert np.allclose(model.emit[:-1].sum(0), 1) and np.allclose(model.move.sum(1), 1)
+    assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1)
+
+
+def test_hmm_against_brute_force(spark):
+    """Training and scores, with emissions for the words that travel and for those that don't, worked out one token at a time."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("a b c d".split()) if rng.random() < 0.7 else f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(61, None), (62, "never seen"), (62, "never seen")]
+    said = [(i, (t or "").split()) for i, t in rows]
+    learn = [ws for i, ws in said if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for ws in learn for w in ws)
+    n, share, states, passes = sum(c.values()) + len(learn), 0.02, 3, 3
+    top = sorted((w for w in c if c[w] >= share * n), key=lambda w: (-c[w], w))
+    assert 0 < len(top) < len(c)
+    rest, kinds = sum(c.values()) - sum(c[w] for w in top), len(c) - len(top)
+    unigram = np.array([*(c[w] for w in top), rest + 1, len(learn) + 1], float)
+    unigram /= unigram.sum()
+    model, at = hmm.first_model(unigram, states), {w: k for k, w in enumerate(top)}
+    ids = lambda ws: [at.get(w, len(top)) for w in ws] + [len(top) + 1]
+    for _ in range(passes):
+        start, pairs, emit, tail = np.ones(states), np.ones((states, states)), 50 * unigram[:, None] * np.ones(states), {}
+        for ws in learn:
+            _, g, moves = naive(model, ids(ws))
+            start, pairs = start + g[0], pairs + moves
+            np.add.at(emit, ids(ws), g)
+            for w, row in zip(ws, g, strict=False):
+                if w not in at:
+                    tail[w] = tail.get(w, 0) + row
+        model = hmm.Hmm(start / start.sum(), pairs / pairs.sum(1, keepdims=True), emit / emit.sum(0))
+    used = sum(tail.values())
+    within = {w: ((g / (used / used.sum()) + c[w]) / 2 + 1) / (rest + kinds + 1) for w, g in tail.items()}
+    assert sum(within.values()) + 1 / (rest + kinds + 1) == pytest.approx(np.ones(states))
+    got = hmm.score(spark.createDataFrame(rows, DOC), states=states, share=share, passes=passes).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r.score for r in got}
+    for i, ws in said:
+        p = model.start
+        for k, w in enumerate([*ws, None]):
+            p = p if k == 0 else p @ model.move
+            s = len(top) + 1 if w is None else at.get(w, len(top))
+            p = p * model.emit[s] * (within.get(w, np.full(states, 1 / (rest + kinds + 1))) if s == len(top) else 1)
+        assert by[i] == pytest.approx(math.log10(p.sum()), rel=1e-4)
 
 
 def test_scores_against_counts(spark, sf):
@@ -386,8 +441,8 @@ def test_scores_against_counts(spark, sf):
     training = [w for i, w in said if zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for ws in training for w in ws)
     n, v = sum(c.values()) + len(training), len(c) + 1
-    for top, emit in ((200_000, 50_000), (300, 100)):
-        got = hmm.score(docs, states=4, passes=2, top=top, emit=emit).collect()
+    for share in (1e-6, 1e-3):
+        got = hmm.score(docs.withColumn("word", F.lit(1)).withColumn("rid", F.lit(1)), states=4, passes=2, share=share).collect()
         assert len(got) == len(rows)
         by = {r.doc_id: r for r in got}
         for i, ws in said:
