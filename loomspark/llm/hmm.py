@@ -293,11 +293,11 @@ def _sum_blocks(sent: DataFrame) -> DataFrame:
 
 
 def e_step(numbered: DataFrame, model: Hmm, tail: bool = False, segment: int = _SEGMENT) -> DataFrame:
-    """Expected counts of all training texts: rows (block, task, v), and with ``tail`` rows (word, g) of the words that don't travel."""
+    """Expected counts of all training texts: rows (block, task, v), and with ``tail`` rows (word, n, g) of the words that don't travel."""
     shared, k = numbered.sparkSession.sparkContext.broadcast(model), len(model.start)
     width = k + k * k + len(model.emit) * k + 1
-    names = ["block", "task", "v", "word", "g"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+    names = ["block", "task", "v", "word", "n", "g"]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float32())]
 
     def rows(*columns: object) -> pa.RecordBatch:
         size = max(len(c) for c in columns if c is not None)
@@ -322,21 +322,24 @@ def e_step(numbered: DataFrame, model: Hmm, tail: bool = False, segment: int = _
                         g[j] += np.bincount(code, states[:, j], g.shape[1])
             if tail and g.size:
                 ends = np.arange(0, g.size + 1, k, dtype=np.int32)
-                yield rows(None, None, None, words.dictionary, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(g.T).ravel())))
+                uses = np.zeros(g.shape[1], np.int64)
+                np.add.at(uses, codes, batch.column(2).flatten().to_numpy())
+                yield rows(None, None, None, words.dictionary, uses, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(g.T, np.float32).ravel())))
         blocks, task = -(-width // _BLOCK), TaskContext.get().partitionId()
-        yield rows(range(blocks), [task] * blocks, [total[b * _BLOCK : (b + 1) * _BLOCK].astype(np.float32).tobytes() for b in range(blocks)], None, None)
+        yield rows(range(blocks), [task] * blocks, [total[b * _BLOCK : (b + 1) * _BLOCK].astype(np.float32).tobytes() for b in range(blocks)], None, None, None)
 
-    return numbered.where(~F.col("held")).select("ids", "tail").mapInArrow(run, "block int, task int, v binary, word binary, g array<double>")
+    return numbered.where(~F.col("held")).select("ids", "tail", "tail_n").mapInArrow(run, "block int, task int, v binary, word binary, n long, g array<float>")
 
 
-def m_step(sent: DataFrame, model: Hmm, unigram: np.ndarray) -> tuple[Hmm, float]:
-    """The model that the counts give, and the log-likelihood under the one before."""
+def m_step(sent: DataFrame, model: Hmm, unigram: np.ndarray) -> tuple[Hmm, float, np.ndarray]:
+    """The model that the counts give, the log-likelihood under the one before, and how often its states have words that don't travel."""
     k = len(model.start)
     summed = _sum_blocks(sent.where(F.col("block").isNotNull()).select("block", "task", "v")).toArrow()  # the size of one model
     parts = dict(zip(summed["block"].to_pylist(), summed["v"].to_pylist(), strict=True))
     got = np.concatenate([np.frombuffer(parts[b]) for b in sorted(parts)]) if parts else np.zeros(k + k * k + len(model.emit) * k + 1)
-    start, pairs, emit = got[:k] + 1, got[k : k + k * k].reshape(k, k) + 1, got[k + k * k : -1].reshape(-1, k) + 50 * unigram[:, None]
-    return Hmm(start / start.sum(), pairs / pairs.sum(1, keepdims=True), emit / emit.sum(0)), float(got[-1])
+    start, pairs, used = got[:k] + 1, got[k : k + k * k].reshape(k, k) + 1, got[k + k * k : -1].reshape(-1, k)
+    emit = used + 50 * unigram[:, None]
+    return Hmm(start / start.sum(), pairs / pairs.sum(1, keepdims=True), emit / emit.sum(0)), float(got[-1]), used[model.words]
 
 
 def _scored(texts: DataFrame, model: Hmm, logs: np.ndarray, segment: int = _SEGMENT) -> DataFrame:
@@ -391,17 +394,19 @@ def score(
     unigram = np.concatenate([c, [rest + 1, texts + 1]])
     unigram /= unigram.sum()
     model = first_model(unigram, states)
+    scratch.drop(counted)
     for _ in range(passes - 1):
-        model, _ = m_step(e_step(numbered, model), model, unigram)
+        model, *_ = m_step(e_step(numbered, model), model, unigram)
+        scratch.tidy()
     last = scratch.save(e_step(numbered, model, tail=True))
-    model, _ = m_step(last, model, unigram)
+    model, _, used = m_step(last, model, unigram)
     below = float(rest + kinds + 1)
-    names = [f"g{j}" for j in range(states)]
-    used = scratch.save(last.where(F.col("word").isNotNull()).groupBy("word").agg(*[F.sum(F.col("g")[j]).alias(x) for j, x in enumerate(names)]))
-    got = used.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in names]).first()
-    uses = [(got[x] + 1e-9) / (sum(got) + states * 1e-9) for x in names]  # shares of the states
-    within = [((F.coalesce(x, F.lit(0.0)) / p + prior * F.col("c")) / (1 + prior) + 1) / below for x, p in zip(names, uses, strict=True)]
-    rare = counts.where(~many).join(used, "word", "left").select("word", "c", F.array(*[x.cast("float") for x in within]).alias("e"))
+    uses = (used + 1e-9) / (used + 1e-9).sum()  # shares of the states
+    summed = last.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(F.col("g")[j]).alias(f"g{j}") for j in range(states)])
+    within = [((F.col(f"g{j}") / float(p) + prior * F.col("c")) / (1 + prior) + 1) / below for j, p in enumerate(uses)]
+    rare = scratch.save(summed.select("word", "c", F.array(*[x.cast("float") for x in within]).alias("e")))
+    scratch.drop(last)
+    scratch.tidy()
     spread = numbered.select("rid", F.posexplode(F.arrays_zip("tail", "tail_n")).alias("j", "x")).select("rid", "j", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("k"))
     found = spread.join(rare, "word", "left")
     per_text = found.groupBy("rid").agg(

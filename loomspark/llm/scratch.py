@@ -8,6 +8,7 @@ only where that setting is missing (tests, single machines).
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,14 @@ class Scratch:
         self._paths[id(again)] = path
         return again
 
+    def tidy(self) -> None:
+        """Let the session's cleaner remove the shuffles of plans that nothing refers to any more.
+
+        It does so when the driver collects garbage, which in a long iteration may come late.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, frame: DataFrame) -> None:
         path = self._paths.pop(id(frame), None)
         if path:

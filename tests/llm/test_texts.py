@@ -388,7 +388,7 @@ def test_baum_welch_raises_the_likelihood(spark, sf):
     unigram = np.concatenate([c, [10_000, 200]]) / (c.sum() + 10_200)
     model, seen = hmm.first_model(unigram, 4), []
     for _ in range(4):
-        model, ll = hmm.m_step(hmm.e_step(numbered, model), model, unigram)
+        model, ll, _ = hmm.m_step(hmm.e_step(numbered, model), model, unigram)
         seen.append(ll)
     assert seen == sorted(seen)
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1)
