@@ -39,6 +39,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -83,6 +85,23 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte by byte: the upper ones are nearly all alike."""
+    return zstandard.compress(np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1) if len(ids) else b""
+
+
+def _unpack(column: pa.BinaryArray) -> list[np.ndarray]:
+    none = np.zeros(0, np.int32)
+    raw = (zstandard.decompress(v.as_buffer()) if len(v.as_buffer()) else b"" for v in column)
+    return [np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(4, -1).T).view("<i4").ravel() if r else none for r in raw]
+
+
+def _rows(values: np.ndarray) -> pa.BinaryArray:
+    """Each row's bytes."""
+    size, raw = values.shape[1] * values.itemsize, np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, size * len(values) + 1, size, dtype=np.int32)), pa.py_buffer(raw)])
+
+
 def number_words(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, held, ids, tail, tail_n): numbers of known words; -1 - j stands for the text's other word j, of tail."""
     known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
@@ -98,16 +117,15 @@ def number_words(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", te
                 at = np.flatnonzero(ids < 0)
                 if len(at):
                     ids[at] = [-1 - rare.setdefault(said[i], len(rare)) for i in at.tolist()]
-                lists.append(ids)
+                lists.append(_pack(ids))
                 tails.append(list(rare))
                 tail_n.append(np.bincount(-1 - ids[at], minlength=len(rare)).tolist())
             if lists:
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
+                made = [pa.array(lists, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["rid", "doc_id", "held", "ids", "tail", "tail_n"])
 
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col))
-    return named.mapInArrow(run, "rid long, doc_id long, held boolean, ids array<int>, tail array<binary>, tail_n array<long>")
+    return named.mapInArrow(run, "rid long, doc_id long, held boolean, ids binary, tail array<binary>, tail_n array<long>")
 
 
 @dataclass
@@ -256,11 +274,6 @@ def _groups(lists: list[np.ndarray], most: int = _GROUP) -> Iterator[np.ndarray]
         yield np.array(held)
 
 
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    values, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-
 def _sum_blocks(sent: DataFrame) -> DataFrame:
     """(block, v) from (block, task, v): added up by lanes of tasks, then over lanes, in a fixed order."""
 
@@ -297,7 +310,7 @@ def e_step(numbered: DataFrame, model: Hmm, tail: bool = False, segment: int = _
     shared, k = numbered.sparkSession.sparkContext.broadcast(model), len(model.start)
     width = k + k * k + len(model.emit) * k + 1
     names = ["block", "task", "v", "word", "n", "g"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float32())]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
     def rows(*columns: object) -> pa.RecordBatch:
         size = max(len(c) for c in columns if c is not None)
@@ -306,7 +319,7 @@ def e_step(numbered: DataFrame, model: Hmm, tail: bool = False, segment: int = _
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, total = shared.value, np.zeros(width)
         for batch in batches:
-            lists = _lists(batch.column(0))
+            lists = _unpack(batch.column(0))
             words = batch.column(1).flatten().dictionary_encode() if tail else None
             if tail:
                 codes, bases = words.indices.to_numpy(), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
@@ -321,14 +334,13 @@ def e_step(numbered: DataFrame, model: Hmm, tail: bool = False, segment: int = _
                     for j in range(k):
                         g[j] += np.bincount(code, states[:, j], g.shape[1])
             if tail and g.size:
-                ends = np.arange(0, g.size + 1, k, dtype=np.int32)
                 uses = np.zeros(g.shape[1], np.int64)
                 np.add.at(uses, codes, batch.column(2).flatten().to_numpy())
-                yield rows(None, None, None, words.dictionary, uses, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(g.T, np.float32).ravel())))
+                yield rows(None, None, None, words.dictionary, uses, _rows(g.T.astype(np.float32)))
         blocks, task = -(-width // _BLOCK), TaskContext.get().partitionId()
         yield rows(range(blocks), [task] * blocks, [total[b * _BLOCK : (b + 1) * _BLOCK].astype(np.float32).tobytes() for b in range(blocks)], None, None, None)
 
-    return numbered.where(~F.col("held")).select("ids", "tail", "tail_n").mapInArrow(run, "block int, task int, v binary, word binary, n long, g array<float>")
+    return numbered.where(~F.col("held")).select("ids", "tail", "tail_n").mapInArrow(run, "block int, task int, v binary, word binary, n long, g binary")
 
 
 def m_step(sent: DataFrame, model: Hmm, unigram: np.ndarray) -> tuple[Hmm, float, np.ndarray]:
@@ -342,6 +354,38 @@ def m_step(sent: DataFrame, model: Hmm, unigram: np.ndarray) -> tuple[Hmm, float
     return Hmm(start / start.sum(), pairs / pairs.sum(1, keepdims=True), emit / emit.sum(0)), float(got[-1]), used[model.words]
 
 
+def emissions(sent: DataFrame, used: np.ndarray, below: float, prior: float) -> DataFrame:
+    """(word, c, e): each other word's count, and its part of their emission in each state.
+
+    Its rows meet in one task; it has less than ``share`` of all uses, so none is large.
+    """
+    k, state = len(used), (used + 1e-9) / (used + 1e-9).sum()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(words: pa.Array, n: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+            e = ((g / state + prior * n[:, None]) / (1 + prior) + 1) / below
+            return pa.RecordBatch.from_arrays([words, pa.array(n), _rows(e.astype(np.float32))], ["word", "c", "e"])
+
+        held: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, n = batch.column(0), batch.column(1).to_numpy()
+            g = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, k).astype(np.float64)
+            if held:
+                words, n, g = pa.concat_arrays([held[0], words]), np.concatenate([held[1], n]), np.concatenate([held[2], g])
+            starts = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))])
+            words, n, g = words.take(pa.array(starts)), np.add.reduceat(n, starts), np.add.reduceat(g, starts)
+            if len(words) > 1:
+                yield out(words[:-1], n[:-1], g[:-1])
+            held = words[-1:], n[-1:], g[-1:]  # may go on in the next batch
+        if held:
+            yield out(*held)
+
+    dealt = sent.where(F.col("word").isNotNull()).select("word", "n", "g").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "word binary, c long, e binary")
+
+
 def _scored(texts: DataFrame, model: Hmm, logs: np.ndarray, segment: int = _SEGMENT) -> DataFrame:
     """(doc_id, held, tail, n_words, hmm, in_top, top_log); ``tail_e`` has the emissions of the text's other words within their class, one after the other."""
     shared, k = texts.sparkSession.sparkContext.broadcast((model, logs)), len(model.start)
@@ -349,13 +393,13 @@ def _scored(texts: DataFrame, model: Hmm, logs: np.ndarray, segment: int = _SEGM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, log = shared.value
         for batch in batches:
-            lists = _lists(batch.column(3))
+            lists = _unpack(batch.column(3))
             if not lists:
                 continue
-            tails = _lists(batch.column(4))
+            tails = [np.frombuffer(b"".join(x.as_py()), np.float32).reshape(-1, k + 1)[:, 1:] for x in batch.column(4)]  # each after its place
             score = np.empty(len(lists))
             for held in _groups(lists):
-                own = [tails[i].reshape(-1, k) for i in held]
+                own = [tails[i] for i in held]
                 bases = np.cumsum([len(mine.emit), *map(len, own)])
                 table = np.vstack([mine.emit, *[mine.emit[mine.words] * x for x in own]])
                 texts = [np.append(np.where(lists[i] < 0, b - 1 - lists[i], lists[i]), mine.words + 1) for i, b in zip(held, bases, strict=False)]
@@ -401,23 +445,21 @@ def score(
     last = scratch.save(e_step(numbered, model, tail=True))
     model, _, used = m_step(last, model, unigram)
     below = float(rest + kinds + 1)
-    uses = (used + 1e-9) / (used + 1e-9).sum()  # shares of the states
-    summed = last.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(F.col("g")[j]).alias(f"g{j}") for j in range(states)])
-    within = [((F.col(f"g{j}") / float(p) + prior * F.col("c")) / (1 + prior) + 1) / below for j, p in enumerate(uses)]
-    rare = scratch.save(summed.select("word", "c", F.array(*[x.cast("float") for x in within]).alias("e")))
+    rare = scratch.save(emissions(last, used, below, prior))
     scratch.drop(last)
     scratch.tidy()
     spread = numbered.select("rid", F.posexplode(F.arrays_zip("tail", "tail_n")).alias("j", "x")).select("rid", "j", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("k"))
-    found = spread.join(rare, "word", "left")
-    per_text = found.groupBy("rid").agg(
+    none = np.full(states, 1 / below, np.float32).tobytes()
+    place = F.to_binary(F.lpad(F.hex("j"), 8, "0"), F.lit("hex"))  # four bytes that sort as the number does
+    per_text = spread.join(rare, "word", "left").groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)).cast("double") + 1)).alias("tail_log"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"),
-        F.sort_array(F.collect_list(F.struct("j", F.coalesce("e", F.array_repeat(F.lit(1 / below).cast("float"), states)).alias("e")))).alias("es"),  # of one text
+        F.sort_array(F.collect_list(F.concat(place, F.coalesce("e", F.lit(none))))).alias("es"),  # of one text
     )
     wide = numbered.select("rid", "doc_id", "held", "ids").join(per_text, "rid", "left").select(
         "doc_id", "held", "ids",
         F.struct(F.coalesce("tail_log", F.lit(0.0)).alias("log"), F.coalesce("tail_known", F.lit(0).cast("long")).alias("known")).alias("tail"),
-        F.coalesce(F.flatten("es.e"), F.array().cast("array<float>")).alias("tail_e"),
+        F.coalesce("es", F.array().cast("array<binary>")).alias("tail_e"),
     )
     tokens = F.col("n_words") + 1
     return _scored(wide, model, np.log10(c + 1)).select(

@@ -63,7 +63,9 @@ class Scratch:
         """Let the session's cleaner remove the shuffles of plans that nothing refers to any more.
 
         It does so when the driver collects garbage, which in a long iteration may come late.
+        The session refers to its last plan, so that has to be another one.
         """
+        self.spark.range(1).count()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
