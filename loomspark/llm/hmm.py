@@ -102,6 +102,19 @@ def _rows(values: np.ndarray) -> pa.BinaryArray:
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, size * len(values) + 1, size, dtype=np.int32)), pa.py_buffer(raw)])
 
 
+def _short(values: np.ndarray) -> np.ndarray:
+    """Floats in 24 bits, rounded (2^-16 of them at most), their sign and exponent first."""
+    bits = (values.astype(np.float32).view(np.uint32) + 0x80).astype(">u4")
+    return np.ascontiguousarray(bits.view(np.uint8).reshape(len(values), -1, 4)[:, :, :3]).reshape(len(values), -1)
+
+
+def _long(raw: np.ndarray) -> np.ndarray:
+    """What ``_short`` has packed."""
+    wide = np.zeros((len(raw), raw.shape[1] // 3, 4), np.uint8)
+    wide[:, :, :3] = raw.reshape(len(raw), raw.shape[1] // 3, 3)
+    return wide.reshape(len(raw), -1).view(">f4").astype(np.float32)
+
+
 def number_words(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, held, ids, tail, tail_n): numbers of known words; -1 - j stands for the text's other word j, of tail."""
     known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
@@ -364,7 +377,7 @@ def emissions(sent: DataFrame, used: np.ndarray, below: float, prior: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(words: pa.Array, n: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
             e = ((g / state + prior * n[:, None]) / (1 + prior) + 1) / below
-            return pa.RecordBatch.from_arrays([words, pa.array(n), _rows(e.astype(np.float32))], ["word", "c", "e"])
+            return pa.RecordBatch.from_arrays([words, pa.array(n), _rows(_short(e))], ["word", "c", "e"])
 
         held: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
         for batch in batches:
@@ -396,7 +409,7 @@ def _scored(texts: DataFrame, model: Hmm, logs: np.ndarray, segment: int = _SEGM
             lists = _unpack(batch.column(3))
             if not lists:
                 continue
-            tails = [np.frombuffer(b"".join(x.as_py()), np.float32).reshape(-1, k + 1)[:, 1:] for x in batch.column(4)]  # each after its place
+            tails = [_long(np.frombuffer(b"".join(x.as_py()), np.uint8).reshape(-1, 3 * k + 4)[:, 4:]) for x in batch.column(4)]  # each after its place
             score = np.empty(len(lists))
             for held in _groups(lists):
                 own = [tails[i] for i in held]
@@ -449,7 +462,7 @@ def score(
     scratch.drop(last)
     scratch.tidy()
     spread = numbered.select("rid", F.posexplode(F.arrays_zip("tail", "tail_n")).alias("j", "x")).select("rid", "j", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("k"))
-    none = np.full(states, 1 / below, np.float32).tobytes()
+    none = _short(np.full((1, states), 1 / below)).tobytes()
     place = F.to_binary(F.lpad(F.hex("j"), 8, "0"), F.lit("hex"))  # four bytes that sort as the number does
     per_text = spread.join(rare, "word", "left").groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)).cast("double") + 1)).alias("tail_log"),
