@@ -103,16 +103,18 @@ def _rows(values: np.ndarray) -> pa.BinaryArray:
 
 
 def _short(values: np.ndarray) -> np.ndarray:
-    """Floats in 24 bits, rounded (2^-16 of them at most), their sign and exponent first."""
-    bits = (values.astype(np.float32).view(np.uint32) + 0x80).astype(">u4")
-    return np.ascontiguousarray(bits.view(np.uint8).reshape(len(values), -1, 4)[:, :, :3]).reshape(len(values), -1)
+    """Rows of floats in 24 bits, rounded (by 2^-16 of them at most), their sign and exponent first."""
+    bits = (np.ascontiguousarray(values, np.float32).view(np.uint32) + 0x80).astype(">u4")
+    n, k = bits.shape
+    return np.ascontiguousarray(bits.view(np.uint8).reshape(n, k, 4)[:, :, :3]).reshape(n, 3 * k)
 
 
 def _long(raw: np.ndarray) -> np.ndarray:
     """What ``_short`` has packed."""
-    wide = np.zeros((len(raw), raw.shape[1] // 3, 4), np.uint8)
-    wide[:, :, :3] = raw.reshape(len(raw), raw.shape[1] // 3, 3)
-    return wide.reshape(len(raw), -1).view(">f4").astype(np.float32)
+    n, k = len(raw), raw.shape[1] // 3
+    wide = np.zeros((n, k, 4), np.uint8)
+    wide[:, :, :3] = raw.reshape(n, k, 3)
+    return wide.reshape(n, 4 * k).view(">f4").astype(np.float32)
 
 
 def number_words(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
