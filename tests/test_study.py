@@ -16,14 +16,14 @@ def plain_ranks(values):
 
 
 def test_mid_ranks(spark):
-    frame = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 2.0), ("d", None)], "k string, v double")
-    got = {r.k: r.r for r in ranks.mid_ranks(frame, "v", "r").collect()}
-    assert got == {"a": 0.25, "b": 0.25, "c": 1.0, "d": None}
+    values = {"p": -3.0, "q": 8.5, "r": 0.0, "s": 8.5, "t": 8.5, "u": 2.25, "w": None}
+    got = {r.k: r.r for r in ranks.mid_ranks(spark.createDataFrame(list(values.items()), "k string, v double"), "v", "r").collect()}
+    assert got.pop("w") is None and got == plain_ranks({k: v for k, v in values.items() if v is not None})
     one = spark.createDataFrame([("a", 5.0)], "k string, v double")
     assert ranks.mid_ranks(one, "v", "r").first().r == 0.0
 
 
-@pytest.mark.parametrize(("points", "r2"), [([(1, 5.0), (2, 4.2), (4, 3.4)], 1.0), ([(1, 5.0), (2, 5.0), (4, 5.0)], 0.0), ([(8, 1.0), (1, 5.0), (2, 3.0), (4, 4.0)], None)])
+@pytest.mark.parametrize(("points", "r2"), [([(3, 7.5), (6, 6.0), (12, 4.5)], 1.0), ([(5, 2.0), (50, 2.0), (500, 2.0)], 0.0), ([(90, 2.1), (7, 6.3), (11, 2.9), (40, 3.7), (20, 3.1)], None)])
 def test_regression(spark, points, r2):
     frame = spark.createDataFrame([("x", "ok", points)], CURVE)
     got = curves.regressions(frame).first()
