@@ -14,7 +14,7 @@ def settings(**over):
         "requested_train_tokens": 900,
         "mixture": {"phases": [{"end_tokens": 500, "weights": {"news": 30, "forum": 70}}, {"end_tokens": 900, "weights": {"news": 55, "forum": 45}}]},
         "validation_fraction": 0.05,
-        "validation_tokens_per_source": 48,
+        "validation_tokens_per_source": 40,
         "dedup": dict(DEDUP_POLICY),
         "filtering": {"min_chars": 3, "max_chars": 5_000},
         "shards": {"tokens": 64, "maximum_loader_microbatch_tokens": 0},
@@ -25,7 +25,7 @@ def settings(**over):
 def test_quotas_and_targets():
     s = PrepSettings.parse(settings())
     assert s.quotas == {"news": 150 + 220, "forum": 350 + 180} and s.reserve == 0
-    assert s.target("forum", "train") == 530 and s.target("news", "val") == 48
+    assert s.target("forum", "train") == 530 and s.target("news", "val") == 40
 
 
 def test_quotas_of_three_phases():
@@ -80,7 +80,7 @@ def test_bad_sources(change):
 def test_disk():
     s = PrepSettings.parse(settings())
     need = disk_needed(s)
-    assert need["packed"] == 2 * (900 + 2 * 48) and need["total"] == need["packed"] + 25 * 1024**3
+    assert need["packed"] == 2 * (900 + 2 * 40) and need["total"] == need["packed"] + 25 * 1024**3
     assert disk_preflight(s, need["total"])["free"] == need["total"]
     assert disk_preflight(s, need["total"] - 10, staged=10)
     with pytest.raises(ValueError):

@@ -11,6 +11,7 @@ from loomspark.plans import prepare as prep
 from loomspark.sources import documents as src
 from test_config import settings
 
+ARCHIVES = ("news", "forum")
 SCHEMA = "file string, file_ord int, row long, content string, score double, metadata map<string,string>"
 VAL = lambda text: F.struct(tx.fingerprint(text, 7, 0.1)["dedup_hash"].alias("dedup_hash"), F.when(text.startswith("val-"), "val").otherwise("train").alias("split"))
 
@@ -20,7 +21,7 @@ def rows(source, texts):
 
 
 def source_texts(source):
-    return [f"val-{source}-000-" + "v" * 30] + [f"train-{source}-{k:03d}-" + source * 30 for k in range(30)]
+    return [f"val-{source}-000-" + "v" * 30] + [f"train-{source}-{k:03d}-" + source[0] * 30 for k in range(30)]
 
 
 def greedy(sources, targets, split_of):
@@ -46,12 +47,12 @@ def build(spark, texts, **kw):
 
 
 def test_accepts_what_a_reader_would(spark):
-    texts = {k: source_texts(k) for k in "ab"}
-    texts["a"].insert(3, texts["a"][2])
-    texts["a"].insert(5, "Ａ  Foo\tBAR")
-    texts["b"].insert(1, "a foo   bar")
+    texts = {k: source_texts(k) for k in ARCHIVES}
+    texts["news"].insert(3, texts["news"][2])
+    texts["news"].insert(5, "Ａ  Foo\tBAR")
+    texts["forum"].insert(1, "a foo   bar")
     s, got = build(spark, texts)
-    want = greedy(list(texts.items()), {k: {t: s.target(k, t) for t in ("train", "val")} for k in "ab"}, lambda t: "val" if t.startswith("val-") else "train")
+    want = greedy(list(texts.items()), {k: {t: s.target(k, t) for t in ("train", "val")} for k in ARCHIVES}, lambda t: "val" if t.startswith("val-") else "train")
     assert sorted((r.source_id, r.split, r.row, r.start_token, r.end_token) for r in got.collect()) == want
     assert not got.where("content = 'a foo   bar'").count()
 
@@ -86,11 +87,11 @@ def test_acceptance_against_a_simulation_on_documents(spark, sf):
 
 def test_short_source_raises(spark):
     with pytest.raises(ValueError, match="budget"):
-        build(spark, {"a": source_texts("a")[:4], "b": source_texts("b")})
+        build(spark, {"news": source_texts("news")[:4], "forum": source_texts("forum")})
 
 
 def test_resume_reads_finished_steps_only(spark, tmp_path):
-    texts = {k: source_texts(k) for k in "ab"}
+    texts = {k: source_texts(k) for k in ARCHIVES}
     s, first = build(spark, texts, work=str(tmp_path))
     want = sorted(r.content_hash for r in first.collect())
 
@@ -100,13 +101,13 @@ def test_resume_reads_finished_steps_only(spark, tmp_path):
     frames = {k: spark.createDataFrame(rows(k, v), SCHEMA) for k, v in texts.items()}
     again = prep.prepare(spark, s, ByteTokenizer(), documents=frames, mark=never, work=str(tmp_path))
     assert sorted(r.content_hash for r in again.collect()) == want
-    other = PrepSettings.parse(settings(validation_tokens_per_source=33))
+    other = PrepSettings.parse(settings(validation_tokens_per_source=41))
     with pytest.raises(ValueError, match="resumed"):
         prep.prepare(spark, other, ByteTokenizer(), documents=frames, mark=VAL, work=str(tmp_path))
 
 
 def test_manifest_export_and_verification(spark, tmp_path):
-    s, got = build(spark, {k: source_texts(k) for k in "ab"})
+    s, got = build(spark, {k: source_texts(k) for k in ARCHIVES})
     got = got.cache()
     shards = prep.export_shards(got, ByteTokenizer(), 37, str(tmp_path / "out"), by_file=False).cache()
     m = prep.manifest(s, ByteTokenizer(), got, shards)
@@ -114,7 +115,7 @@ def test_manifest_export_and_verification(spark, tmp_path):
     assert m["splits"]["train"]["tokens"] == got.where("split = 'train'").agg(F.sum("n_tokens")).first()[0]
     assert prep.verify_shards(spark, m, str(tmp_path / "out")).count() == 0
     stream = b"".join((tmp_path / "out" / h["path"]).read_bytes() for h in m["sources"][0]["splits"]["train"]["shards"])
-    texts = [r.content for r in got.where("source_id = 'a' and split = 'train'").orderBy("start_token").collect()]
+    texts = [r.content for r in got.where("source_id = 'news' and split = 'train'").orderBy("start_token").collect()]
     want = [t for x in ByteTokenizer().encode_batch(texts, True, True) for t in x]
     assert [int.from_bytes(stream[i : i + 2], "little") for i in range(0, len(stream), 2)] == want
     victim = tmp_path / "out" / m["sources"][0]["splits"]["train"]["shards"][1]["path"]
@@ -127,7 +128,7 @@ def test_manifest_export_and_verification(spark, tmp_path):
     assert (tmp_path / "final" / "manifest.json").exists()
     index = prep.document_index(got).collect()
     assert {r.metadata["file"] for r in index} == {"memory"} and all(len(r.dedup_hash) == 32 for r in index)
-    assert prep.journal(got, ["a", "b"]).count() == got.count()
+    assert prep.journal(got, ARCHIVES).count() == got.count()
     got.unpersist()
     shards.unpersist()
 
