@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .ranks import finite, mid_ranks
 
@@ -95,10 +96,11 @@ def efficiency_scores(metrics: DataFrame, groups: Mapping[str, Sequence[str]] |
 
 def metric(frame: DataFrame, path: str) -> Column:
     """A nested number as double; null where it is missing or not finite."""
-    try:
-        frame.select(path)
-    except Exception:  # no such field in this table
-        return F.lit(None).cast("double")
+    kind = frame.schema
+    for name in path.split("."):
+        if not isinstance(kind, StructType) or name not in kind.names:
+            return F.lit(None).cast("double")
+        kind = kind[name].dataType
     value = F.col(path).cast("double")
     return F.when(finite(value), value)
 

@@ -108,3 +108,22 @@ def status_counts(records: DataFrame, key: str) -> DataFrame:
     """Counts by a key as text, in text order, gathered in a map as well."""
     counts = records.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("counts"))
+
+
+def roles(records: DataFrame, values: Mapping[str, str]) -> DataFrame:
+    """One row with the best candidate for each role: least finite value, then least id as text."""
+    ok = {role: finite(F.col(c).cast("double")) for role, c in values.items()}
+    return records.agg(*[F.min_by(F.when(ok[role], F.col("candidate_id")), F.when(ok[role], F.struct(F.col(c).cast("double"), F.col("candidate_id").cast("string")))).alias(role) for role, c in values.items()])
+
+
+def top_logits(logits: Column, k: int) -> Column:
+    """The array with all that is below its k-th largest value at minus infinity; values equal to that one stay."""
+    least = F.element_at(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)))
+    return F.transform(logits, lambda v: F.when(v >= least, v).otherwise(F.lit(float("-inf"))))
+
+
+def time_budget(started: Column, now: Column, hours: float) -> Column:
+    """struct(elapsed, left, over): seconds since the start, and what a budget of hours leaves."""
+    elapsed = now.cast("double") - started.cast("double")
+    left = F.lit(hours * 3600.0) - elapsed
+    return F.struct(elapsed.alias("elapsed"), F.greatest(left, F.lit(0.0)).alias("left"), (left <= 0).alias("over"))

@@ -74,9 +74,18 @@ def document_filters(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy(F.col("metadata")["source"].alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("chars"))
 
 
-@query("flt_4_score_filter", "SELECT doc_id, CAST(quality AS DOUBLE) AS score FROM labels WHERE quality >= 0.5")
+@query(
+    "flt_4_score_filter",
+    """SELECT d.doc_id AS row, doc_id % 4 = 0 AS is_nan, CASE doc_id % 4 WHEN 1 THEN CAST(l.quality AS DOUBLE) WHEN 2 THEN 0.75 END AS score FROM documents d LEFT JOIN labels l USING (doc_id)
+       WHERE d.text <> '' AND (doc_id % 4 IN (0, 2) OR doc_id % 4 = 1 AND l.quality >= 0.5)""",
+)
 def score_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("score")).where(F.col("score") >= 0.5)
+    """Scores as text: a number, NaN (which passes), or none (which doesn't)."""
+    kind = F.col("doc_id") % 4
+    raw = F.when(kind == 0, "nan").when(kind == 1, F.col("quality").cast("string")).when(kind == 2, " 0.7_5 ")
+    spec = Source("documents", "local", "", "text", score_column="score_text", min_score=0.5)
+    got = src.in_memory(_scored(spark, sf).withColumn("score_text", raw), spec, "doc_id", 0, 10**9)
+    return got.select("row", F.isnan("score").alias("is_nan"), F.when(~F.isnan("score"), F.col("score")).alias("score"))
 
 
 @query("fn_6_content_hash", "SELECT doc_id, sha256(text) AS content_hash, length(text) AS chars, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
@@ -104,8 +113,9 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT source, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, source, {_NORM} AS body FROM documents) GROUP BY source, body",
 )
 def first_occurrence(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", "doc_id", F.unhex(F.md5(tx.normalize_native(F.col("text")))).alias("h"))
-    return docs.groupBy("source", "h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("h")
+    docs = table(spark, sf, "documents").select("source", F.col("doc_id").alias("row"), F.lit(0).alias("file_ord"), F.md5(F.concat_ws("|", "source", tx.normalize_native(F.col("text")))).alias("dedup_hash"))
+    copies = docs.groupBy("dedup_hash").agg(F.count(F.lit(1)).alias("copies"))
+    return pack.first_occurrences(docs).join(copies, "dedup_hash").select("source", F.col("row").alias("doc_id"), "copies")
 
 
 _SPLIT_SQL = f"CASE WHEN CAST('0x' || substr(sha256({_NORM}), 1, 15) AS BIGINT) < {int(FRACTION * 16**15)} THEN 'val' ELSE 'train' END"
@@ -339,40 +349,43 @@ def finalists(spark: SparkSession, sf: str) -> DataFrame:
     return ranks.finalists(_records(spark, sf))
 
 
+#: Tokens between two points of a curve, and the projection's horizon.
+_STEP, _HORIZON = 1_000, 100_000
+
+
 def _curves(spark: SparkSession, sf: str) -> DataFrame:
-    """A curve for each part key up to 500: its order lines, numbered, as tokens 2^k, with discount-shaped losses."""
-    lines = table(spark, sf, "lineitem").where(F.col("l_partkey") <= 500)
+    """A curve for each part: all its order lines in turn, a fixed number of tokens apart, with discount-shaped losses."""
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount")
-    points = lines.select(F.col("l_partkey").alias("candidate_id"), F.row_number().over(order).alias("k"), (F.lit(5.0) - F.col("l_discount")).alias("nll")).where(F.col("k") <= 6)
-    curve = F.collect_list(F.struct(F.pow(F.lit(2), F.col("k")).cast("long").alias("tokens"), "nll")).alias("nll_curve")  # six points at most
+    points = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("candidate_id"), (F.row_number().over(order) * _STEP).cast("long").alias("tokens"), (F.lit(5.0) - F.col("l_discount")).alias("nll"))
+    curve = F.collect_list(F.struct("tokens", "nll")).alias("nll_curve")  # of one part
     return points.groupBy("candidate_id").agg(curve).withColumn("status", F.when(F.col("candidate_id") % 11 == 0, "failed").otherwise("completed"))
 
 
-_CURVES_SQL = """pts AS (SELECT l_partkey AS candidate_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_discount) AS k, 5.0::DOUBLE - l_discount AS nll FROM lineitem WHERE l_partkey <= 500),
-    six AS (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS n FROM pts WHERE k <= 6),
-    last3 AS (SELECT candidate_id, CAST(k AS DOUBLE) AS x, nll AS y, k, n FROM six WHERE n >= 3 AND k > n - 3 AND candidate_id % 11 <> 0),
+_CURVES_SQL = f"""pts AS (SELECT l_partkey AS candidate_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_discount) AS k, 5.0::DOUBLE - l_discount AS nll FROM lineitem),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS n FROM pts),
+    last3 AS (SELECT candidate_id, log2(k * {_STEP}.0::DOUBLE) AS x, nll AS y, k, n FROM sized WHERE n >= 3 AND k > n - 3 AND candidate_id % 11 <> 0),
     reg AS (SELECT candidate_id, regr_slope(y, x) AS measured_slope, CASE WHEN max(y) = min(y) THEN 0 ELSE greatest(0, least(1, regr_r2(y, x))) END AS r_squared,
-        CAST(pow(2, max(k)) AS BIGINT) AS current_tokens, max_by(y, k) AS current_nll FROM last3 GROUP BY candidate_id),
+        max(k) * {_STEP} AS current_tokens, max_by(y, k) AS current_nll FROM last3 GROUP BY candidate_id),
     fc AS (SELECT *, r_squared * measured_slope + (1 - r_squared) * (SELECT median(measured_slope) FROM reg) AS effective_slope FROM reg),
-    pj AS (SELECT *, current_nll + effective_slope * log2(256.0::DOUBLE / current_tokens) AS projected_nll FROM fc)"""
+    pj AS (SELECT *, current_nll + effective_slope * log2({_HORIZON}.0::DOUBLE / current_tokens) AS projected_nll FROM fc)"""
 
 
-@query("agg_11_regression", f"WITH {_CURVES_SQL} SELECT candidate_id, round(measured_slope, 9) + 0.0::DOUBLE AS measured_slope, round(r_squared, 9) AS r_squared, current_tokens, current_nll FROM reg")
+@query("agg_11_regression", f"WITH {_CURVES_SQL} SELECT candidate_id, round(measured_slope, 7) + 0.0::DOUBLE AS measured_slope, round(r_squared, 6) AS r_squared, current_tokens, current_nll FROM reg")
 def regression(spark: SparkSession, sf: str) -> DataFrame:
     got = curves.regressions(_curves(spark, sf).where("status <> 'failed'"))
-    return got.select("candidate_id", (F.round("measured_slope", 9) + F.lit(0.0)).alias("measured_slope"), F.round("r_squared", 9).alias("r_squared"), "current_tokens", "current_nll")
+    return got.select("candidate_id", (F.round("measured_slope", 7) + F.lit(0.0)).alias("measured_slope"), F.round("r_squared", 6).alias("r_squared"), "current_tokens", "current_nll")
 
 
-@query("fn_16_projection", f"WITH {_CURVES_SQL} SELECT candidate_id, round(effective_slope, 8) + 0.0::DOUBLE AS effective_slope, round(projected_nll, 8) AS projected_nll FROM pj")
+@query("fn_16_projection", f"WITH {_CURVES_SQL} SELECT candidate_id, round(effective_slope, 6) + 0.0::DOUBLE AS effective_slope, round(projected_nll, 6) AS projected_nll FROM pj")
 def projection(spark: SparkSession, sf: str) -> DataFrame:
-    got = curves.forecasts(curves.regressions(_curves(spark, sf).where("status <> 'failed'")), 256)
-    return got.select("candidate_id", (F.round("effective_slope", 8) + F.lit(0.0)).alias("effective_slope"), F.round("projected_nll", 8).alias("projected_nll"))
+    got = curves.forecasts(curves.regressions(_curves(spark, sf).where("status <> 'failed'")), _HORIZON)
+    return got.select("candidate_id", (F.round("effective_slope", 6) + F.lit(0.0)).alias("effective_slope"), F.round("projected_nll", 6).alias("projected_nll"))
 
 
 @query("gen_7_quality_scores")
 def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Ranks of projections turn on the last bits of ties; tests compare with plain Python."""
-    return curves.quality_scores(_curves(spark, sf), 256).select("candidate_id", F.round("quality", 6).alias("quality"))
+    return curves.quality_scores(_curves(spark, sf), _HORIZON).select("candidate_id", F.round("quality", 6).alias("quality"))
 
 
 _EFF = {"latency": ["p_size", "price"], "memory": ["key"]}
@@ -404,10 +417,15 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "srt_2_latest_upsert",
-    "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1",
+    """WITH m AS (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY o_custkey)
+       SELECT o_custkey, o_orderkey AS tokens, CASE WHEN o_orderkey = last THEN 1.0::DOUBLE ELSE o_totalprice END AS nll FROM orders JOIN m USING (o_custkey)""",
 )
 def latest_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    """A customer's orders as a curve, whose last point is replaced."""
+    curve = F.collect_list(F.struct(F.col("o_orderkey").cast("long").alias("tokens"), F.col("o_totalprice").cast("double").alias("nll")))
+    held = table(spark, sf, "orders").groupBy("o_custkey").agg(curve.alias("c"), F.max("o_orderkey").cast("long").alias("last"))
+    put = curves.upsert_point(F.col("c"), F.struct(F.col("last").alias("tokens"), F.lit(1.0).alias("nll")))
+    return held.select("o_custkey", F.explode(put).alias("p")).select("o_custkey", "p.*")
 
 
 @query("agg_18_validation_loss", "SELECT l_returnflag, avg(a) AS loss, exp(least(avg(a), 20)) AS perplexity FROM (SELECT l_returnflag, l_linenumber, avg(l_discount) AS a FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -428,12 +446,6 @@ def zero_padded_ids(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", F.format_string("%06d", "c_custkey").alias("candidate_id"), F.regexp_extract(name, r"^step_(\d+)\.pt$", 1).cast("long").alias("step"))
 
 
-@query("joi_8_new_plans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
-def new_plans(spark: SparkSession, sf: str) -> DataFrame:
-    plans = table(spark, sf, "customer").select("c_custkey")
-    return plans.join(table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
 # --- configurations -------------------------------------------------------------------------------
 
 
