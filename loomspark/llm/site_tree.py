@@ -2,31 +2,34 @@
 
 The pages of one host are merged into a tree whose nodes are element paths (tags with
 their classes).  For each node, over the host's different pages, two entropies are
-taken: of its presentation (the sequence of its children's tags) and of its content
-(all text below it).  Scaled to 0..1 they add up to the node's importance; menus and
+taken: of its presentation (the sequence of its children's names) and of its content
+(all that lies below it).  Scaled to 0..1 they add up to the node's importance; menus and
 notices that look and read the same everywhere come out near 0, articles near 1.
-Branches below the threshold are removed from each page of the host.
 
-Entropies need only counts, so the tree is built by partial aggregation: no host,
-however large, meets in one task.  The low branches of all hosts go to the tasks as a
-sorted array of 64-bit keys while they number at most ``max_keys``; above that they
-are joined to the pages by host.
+One score decides on every branch of every page: its importance times two priors.  The
+first is what the element says about itself: ``STRONG`` marks (navigation, footers,
+forms, adverts, reader comments) leave a quarter, ``WEAK`` ones (widget, notice, related)
+a half.  The second is where it stands: inside an article or main element, or around one, 1,
+outside of it 0.4, on a page that marks none 0.8.  Branches below the
+threshold go; a main element stands for itself, whatever is around it.  A host with
+fewer than ``min_pages`` different pages has no tree, and the importance ``UNKNOWN``.
 
-What an element says about itself counts first: navigation, headers, footers, asides,
-forms, scripts and the like, and elements whose class or id names an advert, notice or
-reader comment, are removed.  On a host with a tree (``min_pages`` different pages) the
-tree decides on all the rest, in an article (or main) and outside it.  On other hosts
-the mark is all there is to go by: where a page marks an article, only that is kept.
+Entropies need only counts, so the tree is built by partial aggregation: no host,
+however large, meets in one task.  Importances below ``SURE`` go to the tasks while they
+number at most ``max_keys``; above that they are joined to the pages by host.
 
 Cases: null pages are empty; a page that is all noise has the empty text; a null url is
 a host of its own; copies of a page count once in the tree; repeated rows are each
-extracted; tags may be unclosed, nested wrongly or cut off.
+extracted; tags may be unclosed, nested wrongly or cut off; very long and deeply nested
+pages take linear time; equal importances need no order; further columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -38,12 +41,12 @@ from .scratch import Scratch
 
 #: Elements that hold no article text, whatever is in them.
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe object embed svg canvas audio video button select option textarea input label fieldset dialog menu map applet".split())
-#: Words in a class or id that say what an element is.
-NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "masthead topbar footer bottombar sidebar sidebox rail widget widgets cookie cookies consent notice notices alert gdpr popup modal overlay "
-    "comment comments commentlist disqus reply replies respond share sharing social follow related recommended newsletter subscribe signup login search pagination pager toolbar".split()
+#: Words in a class or id that say what an element surely is, and what it may be.
+STRONG_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar footer bottombar sidebar "
+    "cookie cookies consent gdpr popup modal comment comments commentlist disqus replies respond sharing newsletter subscribe signup pagination pager toolbar".split()
 )
+WEAK_NAMES = frozenset("promo promotion banner rail widget widgets notice notices alert overlay sidebox reply share social follow related recommended login search".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
@@ -61,30 +64,60 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu"}
 
-#: What a block is: in an element named as noise, in an article, or neither.
-NOISE, ARTICLE, OPEN = 0, 1, 2
-
-
-def _named(attributes: str) -> tuple[str, bool, bool]:
-    """Name for the path, whether it names noise, whether it names the main part."""
-    label, noise, main = [], False, False
+PLAIN, WEAK, STRONG = 0, 1, 2
+#: What a mark leaves of an importance; and a place: inside an article, outside of one, on a page without.
+MARKS, INSIDE, OUTSIDE, OPEN = (1.0, 0.5, 0.25), 1.0, 0.4, 0.8
+#: Importance of all nodes of hosts without a tree; importances from which on no prior but STRONG's removes a branch of an open place.
+UNKNOWN, SURE = 0.7, 0.76
+
+
+@dataclass(slots=True, eq=False)
+class Node:
+    """An element path of a page; elements with equal paths are one node."""
+
+    above: Node | None
+    name: str
+    mark: int = PLAIN
+    inside: bool = False  # of an article or main element
+    main: bool = False
+    holds: bool = False  # has an article or main element below
+    key: int = 0
+    children: dict = field(default_factory=dict)
+    parts: list = field(default_factory=list)  # texts and nodes, in order
+    kept: bool | None = None
+
+    def child(self, name: str, mark: int, inside: bool, main: bool) -> Node:
+        found = self.children.get(name)
+        if found is None:
+            found = self.children[name] = Node(self, name, mark, inside, main, key=_hash(f"{self.key}/{name}"))
+            self.parts.append(found)
+            above = self if inside else None
+            while above is not None and not above.holds:
+                above.holds, above = True, above.above
+        return found
+
+
+def _named(attributes: str) -> tuple[str, int, bool]:
+    """Name for the path, what it marks, whether it names the main part."""
+    label, mark, main = [], PLAIN, False
     for kind, a, b, c in _NAMED.findall(attributes):
         value, kind = a or b or c, kind.lower()
         if kind == "role":
-            noise |= value.strip().lower() in _ROLES
+            mark = STRONG if value.strip().lower() in _ROLES else mark
             main |= value.strip().lower() == "main"
             continue
         words = _WORD.findall(_CAMEL.sub(" ", value).lower())
-        noise |= not NOISE_NAMES.isdisjoint(words)
+        mark = max(mark, STRONG if not STRONG_NAMES.isdisjoint(words) else WEAK if not WEAK_NAMES.isdisjoint(words) else PLAIN)
         label += words
-    return ".".join(label), noise, main
+    return ".".join(label), mark, main
 
 
-def blocks(html: str | None) -> list[tuple[tuple[str, ...], int, str]]:
-    """(path, kind, text) of every block with text, in page order."""
+def blocks(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
+    """The page's tree, and (node, text) of every block with text in page order."""
     html = html or ""
-    out: list[tuple[tuple[str, ...], int, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, noise, main, as they add up
+    root = Node(None, "")
+    out: list[tuple[Node, str]] = []
+    stack: list[tuple[str, Node, bool]] = []  # tag, node, whether it breaks the text
     parts: list[str] = []
 
     def flush() -> None:
@@ -92,11 +125,12 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], int, str]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                noise, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                out.append((tuple(x[1] for x in stack), NOISE if noise else ARTICLE if main else OPEN, text))
+                node = stack[-1][1] if stack else root
+                node.parts.append(text)
+                out.append((node, text))
 
     def close(depth: int) -> None:
-        if any(x[0] in BLOCK_TAGS or x[2] for x in stack[depth:]):
+        if any(x[2] for x in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -136,8 +170,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], int, str]]:
                 flush()
             continue
         # Classes of the whole page say nothing about its parts.
-        label, noise, main = _named(attributes) if attributes and tag not in ("html", "body") else ("", False, False)
-        noise |= tag in NOISE_TAGS
+        label, mark, main = _named(attributes) if attributes and tag not in ("html", "body") else ("", PLAIN, False)
+        mark = STRONG if tag in NOISE_TAGS else mark
         if tag == "body":  # whatever came before it is over
             close(0)
         if tag in BLOCK_TAGS:
@@ -157,16 +191,18 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], int, str]]:
                     if stack[depth][0] in BLOCK_TAGS:
                         break
             flush()
-        elif not noise:
+        elif mark == PLAIN:
             continue  # plain inline elements are part of their block
         else:
             flush()
-        above = stack[-1] if stack else ("", "", False, False)
-        main |= tag in ("article", "main")
-        noise |= (tag == "header" or "header" in label.split(".")) and not above[3]  # a heading of the article is part of it
-        stack.append((tag, f"{tag}.{label}" if label else tag, (above[2] and tag != "main") or noise, above[3] or main))
+        above = stack[-1][1] if stack else root
+        if (tag == "header" or "header" in label.split(".")) and not above.inside:  # a heading of the article is part of it
+            mark = STRONG
+        main |= tag == "main"
+        node = above.child(f"{tag}.{label}" if label else tag, mark, above.inside or main or tag == "article", main)
+        stack.append((tag, node, tag in BLOCK_TAGS or mark > PLAIN))
     flush()
-    return out
+    return root, out
 
 
 def _hash(value: str) -> int:
@@ -175,22 +211,49 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
 
-#: The empty path: stands among a host's low branches if the host has a tree.
+#: Stands among a host's importances if the host has a tree.
 _TREE = _hash("")
 
 
-def main_text(html: str | None, low, tree: bool = False) -> str:
-    """The kept blocks; ``low(path)`` tells whether a branch has too little importance, ``tree`` whether the host has one."""
-    found = blocks(html)
-    marked = any(kind == ARTICLE for _, kind, _ in found)
-    kinds = (ARTICLE,) if marked and not tree else (ARTICLE, OPEN)
-    return "\n".join(text for path, kind, text in found if kind in kinds and not any(low(path[:d]) for d in range(1, len(path) + 1)))
+def main_text(html: str | None, low: Mapping[int, float] | None = None, threshold: float = 0.3) -> str:
+    """The kept blocks; ``low`` has the host's importances below ``SURE`` by node, and ``_TREE`` if it has a tree."""
+    _, found = blocks(html)
+    low = low or {}
+    other = 1.0 if _TREE in low else UNKNOWN
+    away = OUTSIDE if any(node.inside for node, _ in found) else OPEN
+
+    def stays(node: Node) -> bool:
+        path = []
+        while node.above is not None and node.kept is None:
+            path.append(node)
+            node = node.above
+        kept = True if node.above is None else node.kept
+        for node in reversed(path):
+            score = low.get(node.key, other) * MARKS[node.mark] * (INSIDE if node.inside or node.holds else away)
+            kept = node.kept = (node.main or kept) and score >= threshold
+        return kept
+
+    return "\n".join(text for node, text in found if stays(node))
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+def digests(root: Node) -> list[tuple[int, int, int]]:
+    """(key, content, shape) of the root and all nodes with text below, parents first."""
+    order = [root]
+    for node in order:
+        order += node.children.values()
+    known: dict[Node, tuple[int, int]] = {}
+    for node in reversed(order):  # children before their parents
+        there = [p for p in node.parts if isinstance(p, str) or p in known]
+        if there or node is root:
+            content = _hash("\n".join(f"={p}" if isinstance(p, str) else f"+{known[p][0]}" for p in there))
+            known[node] = content, _hash("/".join("#" if isinstance(p, str) else p.name for p in there))
+    return [(node.key, *known[node]) for node in order if node in known]
+
+
 def branch_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(host, path, page, content, shape), all hashes but host, once for every different page of a host."""
 
@@ -198,15 +261,9 @@ def branch_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         for batch in batches:
             rows: list[tuple[str, int, int, int, int]] = []
             for host, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = blocks(value.as_py())
-                texts: dict[tuple[str, ...], list[str]] = {}
-                shapes: dict[tuple[str, ...], list[str]] = {}
-                for path, _, text in found:
-                    for d in range(1, len(path) + 1):
-                        texts.setdefault(path[:d], []).append(text)
-                        shapes.setdefault(path[:d], []).append(path[d] if d < len(path) else "#")
-                page = _hash("\n".join(text for _, _, text in found))
-                rows += [(host, _hash("/".join(p)), page, _hash("\n".join(t)), _hash("/".join(shapes[p]))) for p, t in texts.items()]
+                nodes = digests(blocks(value.as_py())[0])
+                page = nodes[0][1]
+                rows += [(host, key, page, content, shape) for key, content, shape in nodes[1:]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] + [pa.int64()] * 4, strict=True)], ["host", "path", "page", "content", "shape"])
 
@@ -240,31 +297,31 @@ def extract(
     spark = pages.sparkSession
     scratch = Scratch(spark, "site-tree")
     counts = scratch.save(branch_counts(pages, url_col, html_col))
-    low = importance(counts).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+    low = importance(counts).where((F.col("pages") >= min_pages) & (F.col("importance") < SURE))
     trees = counts.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    low = low.select("host", "path").unionByName(trees.select("host", F.lit(_TREE).alias("path")))
-    low = scratch.save(low.select("host", "path", F.xxhash64("host", "path").alias("key")))
+    low = scratch.save(low.select("host", "path", "importance").unionByName(trees.select("host", F.lit(_TREE).alias("path"), F.lit(1.0).alias("importance"))))
     wanted = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if low.count() <= max_keys:
-        by_host: dict[str, np.ndarray] = {}
-        table = low.select("host", "path").toPandas()
-        for host, part in table.groupby("host"):
-            by_host[host] = np.unique(part["path"].to_numpy())
+        by_host = {host: (part["path"].to_numpy(), part["importance"].to_numpy()) for host, part in low.toPandas().groupby("host")}
         shared = spark.sparkContext.broadcast(by_host)
-        held = wanted.withColumn("low", F.lit(None).cast("array<long>"))
+        held = wanted.withColumn("low", F.lit(None).cast("array<struct<path:long,importance:double>>"))
     else:  # joined by host; adaptive execution splits a large one
         shared = None
-        held = wanted.join(low.groupBy("host").agg(F.collect_set("path").alias("low")), "host", "left").select("page_id", "url", "html", "host", "low")
+        held = wanted.join(low.groupBy("host").agg(F.collect_set(F.struct("path", "importance")).alias("low")), "host", "left").select("page_id", "url", "html", "host", "low")
     ids = held.schema["page_id"]
     schema = StructType([StructField("page_id", ids.dataType), StructField("url", held.schema["url"].dataType), StructField("text", StringType(), False)])
-    none = np.zeros(0, np.int64)
+    none = (np.zeros(0, np.int64), np.zeros(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, dict[int, float]] = {}
         for batch in batches:
             texts = []
             for html, host, own in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                paths = frozenset((shared.value.get(host, none) if shared else none if own.as_py() is None else np.array(own.as_py(), np.int64)).tolist())
-                texts.append(main_text(html.as_py(), lambda path, paths=paths: bool(paths) and _hash("/".join(path)) in paths, _TREE in paths))
+                if shared is None:
+                    mine = {x["path"]: x["importance"] for x in own.as_py() or ()}
+                elif (mine := trees.get(host)) is None:
+                    mine = trees[host] = dict(zip(*(x.tolist() for x in shared.value.get(host, none)), strict=True))
+                texts.append(main_text(html.as_py(), mine, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return held.mapInArrow(run, schema).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -278,12 +278,51 @@ def test_long_thread(spark):
 
 def test_blocks():
     html = "<div class='siteNotice'>x</div><ul><li>a<li>b</ul><p>one<b>two</b><p>three &amp;nbsp; &lt;x&gt;<!-- <p>c</p> --><table><tr><td>1<td>2</table><div id=c1 class='entry-comments'>bad<p>bad2</p></div>tail<br>end<a"
-    assert [t for _, k, t in site_tree.blocks(html) if k] == ["a", "b", "onetwo", "three &nbsp; <x>", "1", "2", "tail end"]
-    assert site_tree.blocks(None) == [] and site_tree.blocks("<script>var t='</p>'</script><style>p{}") == []
-    assert site_tree.main_text("<nav>n</nav><article><header><h1>T</h1></header><p>a&#39;b<form>f</form></article><footer>f</footer>", lambda p: False) == "T\na'b"
+    assert site_tree.main_text(html).split("\n") == ["a", "b", "onetwo", "three &nbsp; <x>", "1", "2", "tail end"]
+    assert site_tree.blocks(None)[1] == [] and site_tree.blocks("<script>var t='</p>'</script><style>p{}")[1] == []
+    assert site_tree.main_text("<nav>n</nav><article><header><h1>T</h1></header><p>a&#39;b<form>f</form></article><footer>f</footer>") == "T\na'b"
     wrapped = "<body class='nav-menus no-sidebar'><div class='sidebar-wrap'><main><div class='entry-header'><h1>T</h1></div><p>x</p><section class='comments'><article>bad</article></section></main></div>"
-    assert site_tree.main_text(wrapped, lambda p: False) == "T\nx"
+    assert site_tree.main_text(wrapped) == "T\nx"
     assert site_tree.blocks("<a " * 20_000) is not None
+    doubtful = "<article><p>a</p><div class='widget-review'>b</div><p class='follow'>c</p></article><div class='related'>d</div>"
+    assert site_tree.main_text(doubtful) == "a\nb\nc"  # a name alone doesn't take text out of an article
+    deep = site_tree.blocks("<div>x" * 20_000)[0]
+    assert len(site_tree.digests(deep)) == 20_001
+
+
+def test_importance_against_brute_force(spark):
+    """Entropies by hand, over whole nested pages."""
+    rng = random.Random(4)
+    piece = lambda k: rng.choice([f"<p>menu {k % 2}</p>", "<ul><li>home</li><li>news</li></ul>", f"<div class='b'><p>{rng.random()}</p></div>", f"plain {k % 3}"])
+    pages = [(k, f"http://{'ab'[k % 2]}.example/{k}", "<body>" + "".join(piece(k) for _ in range(rng.randint(1, 4))) + "</body>") for k in range(40)] + [(50, "http://a.example/", None)]
+    pages.append((51, pages[0][1], pages[0][2]))  # a copy counts once
+    seen = {}
+    for host, html in {(url.split("/")[2], html) for _, url, html in pages}:
+
+        def nested(node):
+            parts = [p if isinstance(p, str) else (p.name, nested(p)) for p in node.parts]
+            return tuple(p for p in parts if isinstance(p, str) or p[1])
+
+        def visit(node, path, host=host):
+            seen.setdefault((host, node.key), []).append((nested(node), tuple("#" if isinstance(p, str) else p[0] for p in nested(node))))
+            for c in node.children.values():
+                if nested(c):
+                    visit(c, (*path, c.name))
+
+        root = site_tree.blocks(html)[0]
+        for c in root.children.values():
+            if nested(c):
+                visit(c, (c.name,))
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n)
+
+    counts = site_tree.branch_counts(spark.createDataFrame(pages, "page_id long, url string, html string"), "url", "html")
+    got = {(r.host, r.path): (r.pages, r.importance) for r in site_tree.importance(counts).collect()}
+    assert set(got) == set(seen)
+    for k, values in seen.items():
+        assert got[k] == (len(values), pytest.approx(0.9 * entropy([v[0] for v in values]) + 0.1 * entropy([v[1] for v in values])))
 
 
 def test_low_branches_go(spark):
