@@ -15,7 +15,9 @@ whole texts and needs no shuffle.
 Cases: null and empty texts have all-zero features and get a score like any
 other; labels that are null are not learned from; a document labelled more than
 once counts with its largest label; without usable labels, or with one class
-alone, the score is the smoothed share of that class.
+alone, the score is the smoothed share of that class; very long texts are read whole,
+repeated rows are scored each; other columns, whatever their names, stay as they are;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -205,7 +207,8 @@ def held_out(ids, folds: int = 5):
 
 
 def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
-    """``docs`` with one more column: the probability of label 1."""
+    """``docs`` with one more column, the probability of label 1; it takes the place of one of that name."""
+    docs = docs.drop(out_col) if out_col != text_col else docs
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(out_col, DoubleType(), False)])
 
@@ -219,4 +222,5 @@ def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", out_col
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model accepts, with all their columns."""
-    return score(docs, model, text_col, "__quality").where(F.col("__quality") >= threshold).select(*docs.columns)
+    name = "_" * (1 + max(map(len, docs.columns)))  # longer than any there is
+    return score(docs, model, text_col, name).where(F.col(name) >= threshold).select(*docs.columns)

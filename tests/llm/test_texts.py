@@ -381,6 +381,14 @@ def test_quality_cases(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_keeps_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a text", 7, 8.0), (2, None, 7, 8.0)], "doc_id long, text string, __quality int, quality_score double")
+    model = quality.AdditiveModel()
+    assert [tuple(r) for r in quality.keep_good(frame, model).orderBy("doc_id").collect()] == [(1, "a text", 7, 8.0), (2, None, 7, 8.0)]
+    assert [r.quality_score for r in quality.score(frame, model).collect()] == [0.5, 0.5]
+    assert quality.keep_good(frame.limit(0), model).count() == 0
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(3)
     x = rng.random((4_000, len(quality.FEATURES)))
