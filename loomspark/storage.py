@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """Use the shared folder in ``spark.checkpoint.dir``; a private one only on one machine, where that is unset."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomspark-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomspark-"))
 
 
 def cut(frame: DataFrame) -> DataFrame:
