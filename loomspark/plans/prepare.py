@@ -3,7 +3,8 @@
 Sources are taken in order.  Within a source, files may be read in steps: after each
 step the accepted rows are written and counted, and reading stops as soon as every
 split has its tokens, so a source far larger than its quota is not tokenised whole.
-A committed step is never read again (``Commits``).
+A committed step's files are never read again (``Commits``); its rows are compared
+with what was committed before a build goes on.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import DEDUP_POLICY, PrepSettings, Source, digest
 from ..functions.text import content_digest, fingerprint
@@ -47,6 +48,12 @@ class Commits:
             if self.state["contract"] != self.contract:
                 raise ValueError("the settings of the unfinished build differ; it can't be resumed")
 
+    def check_order(self, sources: Sequence[str]) -> None:
+        """Raise unless the sources with steps are the first ones, in order."""
+        begun = list(dict.fromkeys(s["source"] for s in self.state["steps"]))
+        if begun != list(sources[: len(begun)]):
+            raise ValueError(f"the finished steps are of {begun}, which don't come first in {list(sources)}")
+
     def done(self, source: str) -> list[dict[str, Any]]:
         return [s for s in self.state["steps"] if s["source"] == source]
 
@@ -90,6 +97,7 @@ def prepare(
     mark = mark or (lambda text: fingerprint(text, settings.seed, settings.validation_fraction))
     files = files or {}
     commits = Commits(f"{work}/build_state.json" if work else None, contract(settings, tokenizer, files))
+    commits.check_order([s.id for s in settings.sources])
     taken: DataFrame | None = None
     for source in settings.sources:
         targets = {s: settings.target(source.id, s) for s in ("train", "val")}
@@ -101,6 +109,8 @@ def prepare(
                 break
             if i < len(finished):
                 got = spark.read.parquet(finished[i]["path"])
+                if (check := fingerprint_of(got)[1]) != finished[i]["check"]:
+                    raise ValueError(f"step {i} of {source.id} is not what was committed: {check}, {finished[i]['check']}")
                 filled = finished[i]["filled"]
             else:
                 rows = accept(candidates(docs(), tokenizer, mark), targets, taken, filled).withColumn("source_id", F.lit(source.id))
@@ -110,9 +120,9 @@ def prepare(
                     got = spark.read.schema(rows.schema).parquet(path)
                 else:
                     path, got = "", cut(rows)
-                sums = {r["split"]: r["n"] for r in got.groupBy("split").agg(F.sum("n_tokens").alias("n")).collect()}
-                filled = {s: filled[s] + (sums.get(s) or 0) for s in targets}
-                commits.add({"source": source.id, "step": i, "path": path, "filled": filled})
+                sums, check = fingerprint_of(got)
+                filled = {s: filled[s] + sums.get(s, 0) for s in targets}
+                commits.add({"source": source.id, "step": i, "path": path, "filled": filled, "check": check})
             taken = got if taken is None else taken.unionByName(got)
         if short := [s for s in targets if filled[s] < targets[s]]:
             raise ValueError(f"source {source.id} ended before its token budget for {short}: {filled} of {targets}")
@@ -120,6 +130,39 @@ def prepare(
     return taken
 
 
+def fingerprint_of(accepted: DataFrame) -> tuple[dict[str, int], str]:
+    """Tokens by split, and a text that changes with any row's digest or span; order doesn't matter."""
+    row = F.xxhash64("split", "dedup_hash", "start_token", "end_token").cast("decimal(38,0)")
+    found = accepted.groupBy("split").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum(row).cast("string").alias("hashes")).collect()  # a row for each split
+    return {r["split"]: r["tokens"] or 0 for r in found}, " ".join(f"{r['split']}:{r['documents']}:{r['hashes']}" for r in sorted(found))
+
+
+def source_ledger(accepted: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """A row for each source: its documents, where its digests begin and end among all, and a sum over them."""
+    order = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source_id"))
+    totals = accepted.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.xxhash64("dedup_hash").cast("decimal(38,0)")).cast("string").alias("digests"))
+    ends = F.sum("documents").over(Window.orderBy(order))  # a row for each source
+    return totals.select("source_id", "documents", (ends - F.col("documents")).alias("start"), ends.alias("end"), "digests")
+
+
+def verify_sources(accepted: DataFrame, ledger: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """Sources whose digests are not those of the ledger, or don't follow the source before; with the problem."""
+    now = source_ledger(accepted, sources).select("source_id", *[F.col(c).alias(f"_{c}") for c in ("documents", "start", "digests")])
+    joined = ledger.join(now, "source_id", "full")
+    problem = (
+        F.when(F.col("documents").isNull(), "unlisted").when(F.col("_documents").isNull(), "missing").when(F.col("end") - F.col("start") != F.col("documents"), "length")
+        .when(F.col("_documents") != F.col("documents"), "documents").when(F.col("_digests") != F.col("digests"), "digests").when(F.col("_start") != F.col("start"), "gap")
+    )
+    return joined.select("source_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def load_manifest(path: str | Path) -> dict[str, Any]:
+    """Read and check a finished build's manifest."""
+    m = read_json(path)
+    check_manifest(m)
+    return m
+
+
 def _steps(spark: SparkSession, settings: PrepSettings, source: Source, documents, files, size: int) -> Iterator[Callable[[], DataFrame]]:
     if documents and source.id in documents:
         yield lambda: documents[source.id]

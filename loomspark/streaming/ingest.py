@@ -38,3 +38,19 @@ def upsert_points(points: DataFrame, batch: DataFrame) -> DataFrame:
     keys = ["candidate_id", "tokens"]
     newest = batch.groupBy(*keys).agg(F.max_by("nll", "seq").alias("nll"))
     return points.join(newest, keys, "left_anti").select(*keys, "nll").unionByName(newest)
+
+
+def start_points(points: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep a stream of (candidate_id, tokens, nll, seq) in ``folder``: one part for each micro-batch, written again if it is retried."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("candidate_id", "tokens").agg(F.max_by("nll", "seq").alias("nll"))
+        newest.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return points.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
+def read_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The curve points of all micro-batches; the last batch that has a point wins."""
+    parts = spark.read.schema("candidate_id string, tokens long, nll double, batch long").parquet(folder)
+    return parts.groupBy("candidate_id", "tokens").agg(F.max_by("nll", "batch").alias("nll"))
