@@ -14,7 +14,9 @@ above that the same grams are looked up by a join that Spark plans by size.
 Cases: null and empty texts have no words and are never contaminated; repeated
 rows are judged separately; items with equal windows all count; a null
 ``item_id`` is not reported but its words still count as hit; an empty benchmark
-hits nothing.  ``remove_documents`` drops rows, by id (null is one, too) and text.
+hits nothing, and an empty table gives an empty result; very long texts are scanned
+whole; ties don't occur; columns besides id and text are not read by ``scan`` and are
+kept by ``remove_documents``, whatever their names.  ``remove_documents`` drops rows, by id (null is one, too) and text.
 """
 
 from __future__ import annotations
@@ -72,7 +74,8 @@ def scan(
     )
     # Set once per row of the scan; the same on a retry, as it follows the order in the files.
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), word_list(F.col(text_col)).alias("w"))
-    found = _cands_by_set(base, grams, lengths, gram) if grams.count() <= max_grams else _cands_by_join(base, grams, lengths, gram)
+    # The join reads the rows twice and must find them under the same numbers: they are written first.
+    found = _cands_by_set(base, grams, lengths, gram) if grams.count() <= max_grams else _cands_by_join(scratch.save(base), grams, lengths, gram)
     spread = found.select("rid", "doc_id", "n_words", F.explode_outer("cands").alias("c")).select("rid", "doc_id", "n_words", "c.*")
     texts = windows.select("body", "len", "item_id")
     hits = spread.join(texts.withColumn("known", F.lit(True)), ["len", "body"], "left")

@@ -10,8 +10,9 @@ split when one class is hot.
 Cases: a null text counts as empty; empty texts form one class; a null
 ``doc_id`` is never chosen while its class has another id; a row repeated with
 the same ``doc_id`` and text is the same document and shares its verdict in
-``classes``, and ``deduplicate`` keeps one of them; an empty table gives an empty
-result; further columns are ignored by ``classes`` and kept by ``deduplicate``.
+``classes``, and ``deduplicate`` keeps one of them; very long texts are
+hashed and compared whole; an empty table gives an empty result; further columns,
+whatever their names, are ignored by ``classes`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations

@@ -27,7 +27,11 @@ different groups are compared, pair by pair, so no link is lost.
 Cases: null and empty texts have no n-grams and stay alone; a text with fewer words
 than ``width`` is one n-gram; rows that share a ``doc_id`` are one document with all
 their links; rows with a null ``doc_id`` take part in no link of their own, and get
-the group of their copies; an empty table gives an empty result.
+the group of their copies; very long texts are one set, however large, and a set
+larger than ``block_members`` meets one other part at a time; ties in frequency are
+broken by the hash, which no result depends on; columns besides id and text, whatever
+their names, are not read by ``groups`` and are kept by ``one_of_each``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

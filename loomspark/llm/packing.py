@@ -12,8 +12,9 @@
    however common, meets in one task.
 
 Cases: a null or empty text is one piece holding the end id; long documents give
-many pieces; repeated rows are packed as often as they occur; an empty table
-packs into nothing.
+many pieces; repeated rows are packed as often as they occur; pieces of equal length
+are alike to the plan and are told apart by task and place; columns besides id and text
+are not read; an empty table packs into nothing.
 """
 
 from __future__ import annotations

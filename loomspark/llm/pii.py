@@ -23,7 +23,8 @@ start at the first character of a run only (or where the last match ended) and a
 possessive where that changes nothing, so long runs of one character cost linear time.
 
 Cases: null texts count as empty; repeated rows are reported each; ties don't occur,
-as spans of one kind never overlap; an empty table gives an empty result.
+as spans of one kind never overlap; very long texts are searched whole; columns besides
+id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ loss mask is an array of (start, stop) code points, one for each text of ``learn
 
 Cases: null texts and roles count as empty; a reply to a missing message starts a
 tree; replies in a ring have no root and are left out; equal turns are ordered by
-role and text; a null conversation id is one conversation; an empty table gives an
-empty result.
+role and text; a null conversation id is one conversation; long threads and
+texts stay whole; columns besides those of a reply are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
