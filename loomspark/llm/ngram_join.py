@@ -6,8 +6,9 @@ one class, so copies cost one row each.
 Candidates.  Two sets with Jaccard >= t share at least ``ceil(t * n)`` members, for
 either n.  So the first ``n - ceil(t * n) + l`` hashes of each (in hash order) share
 at least ``l``; of these short lists, in order of how many lists have a hash, the
-first ``len - l + 1`` share at least one.  Hashes that one list alone has fall away
-after one count, and with them nearly all documents without a partner.  Lists that
+first ``len - l + 1`` share at least one.  The lists travel once, as packed bytes by
+bucket of hashes, and each bucket is sorted on its own: hashes that one list alone has
+fall away there, and with them nearly all documents without a partner.  Lists that
 share a rare hash and are near enough in size are joined into blocks, by connected
 components over (document, smallest document of the bucket) edges.
 
@@ -41,14 +42,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import text_hash, without
+from .columns import bit_of, bits, is_set, split_by_bits, text_hash, without
 from .components import components
 from .scratch import Scratch
 
-#: Bits of the map that picks documents out of the second scan (8 MB); more documents only pass more in vain.
-_BITS = 1 << 26
+#: Hashes that one bucket of the count holds in the mean, at most.
+_BUCKET = 1_000_000
 
 
 def ngram_hashes(text: str | None, width: int) -> np.ndarray:
@@ -88,6 +90,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, key, take, m, list): size and hash of the set, its list for the candidate search of m hashes, and its prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -103,16 +107,88 @@ def _signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col
             if ns:
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(take, pa.int32()), made], ["doc_id", "n", "key", "take", "list"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(take, pa.int32()), pa.array(np.diff(ends), pa.int32()), made], ["doc_id", "n", "key", "take", "m", "list"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n long, key binary, take int, m int, list array<long>")
+
+
+def _packed(lists: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, ids, hs) from (doc_id, list): hashes and their documents, many to a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            h = column.flatten().to_numpy()
+            if not len(h):
+                continue
+            ids = np.repeat(batch.column(0).to_numpy(), column.value_lengths().to_numpy())
+            bucket = ((h.view(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            h, ids, sizes = h[order], ids[order], np.bincount(bucket, minlength=buckets)
+            ends = np.cumsum(sizes)
+            filled = np.flatnonzero(sizes).tolist()
+            spans = [(int(ends[b] - sizes[b]), int(ends[b])) for b in filled]
+            # Steps from one document to the next are small numbers, nearly all of their bytes zero.
+            steps = [np.ascontiguousarray(np.diff(ids[x:y], prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes() for x, y in spans]
+            made = [pa.array(filled, pa.int32()), pa.array([zstandard.compress(v, 1) for v in steps], pa.binary()), pa.array([h[x:y].tobytes() for x, y in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["bucket", "ids", "hs"])
+
+    return lists.select("doc_id", "list").mapInArrow(run, "bucket int, ids binary, hs binary")
+
+
+def _shared(packed: DataFrame, tasks: int) -> DataFrame:
+    """(id, h, df) of the hashes that more than one list has; each bucket is sorted on its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, hs = None, [], []
+
+        def found() -> pa.RecordBatch:
+            one = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(zstandard.decompress(v), np.uint8).reshape(8, -1).T).view(np.int64).ravel()) for v in ids])
+            h = np.concatenate([np.frombuffer(v, np.int64) for v in hs])
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            starts = np.concatenate([[0], 1 + np.flatnonzero(h[1:] != h[:-1])])
+            df = np.diff(np.append(starts, len(h)))
+            df = np.repeat(df, df)
+            several = df > 1
+            return pa.RecordBatch.from_arrays([pa.array(one[order[several]]), pa.array(h[several]), pa.array(df[several].astype(np.int64))], ["id", "h", "df"])
+
+        for batch in batches:
+            for bucket, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != key:
+                    if ids:
+                        yield found()
+                    key, ids, hs = bucket, [], []
+                ids.append(x)
+                hs.append(y)
+        if ids:
+            yield found()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n long, key binary, take int, list array<long>")
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, h long, df long")
 
 
-def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that join all documents which may have a link, and some more."""
-    spread = reps.select("id", "n", "take", F.size("list").alias("m"), F.explode("list").alias("h"))
-    common = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    alive = spread.join(common, "h").groupBy("id", "n", "take", "m").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # one document's own hashes
+def _lists(wide: DataFrame, signed: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+    """Packed lists of each class's first document.
+
+    A map tells which documents may be copies; they alone are joined with the classes.
+    """
+    copies = signed.join(classes, "key").where(F.col("doc_id") != F.col("id"))
+    rows = wide.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    found = bits(bit_of(F.col("doc_id")), copies)
+    if not found.any():
+        return _packed(rows, buckets)
+    first, asked = split_by_bits(rows, bit_of(F.col("doc_id")), found)
+    asked = asked.join(classes, (asked["key"] == classes["key"]) & (asked["doc_id"] == classes["id"]), "left_semi")
+    return _packed(first, buckets).unionByName(_packed(asked, buckets))
+
+
+def _candidates(shared: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join all documents which may have a link, and some more.
+
+    Texts of one id have their hashes together, which leaves none of them out.
+    """
+    rare_first = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # one document's own hashes
+    alive = rare_first.join(reps, "id")
     room = F.col("take") - (F.col("m") - F.size("x"))  # hashes that no other list has come first
     buckets = alive.where(room > 0).select("id", "n", F.explode(F.slice("x", 1, room)).alias("x")).select("id", "n", "x.h")
     # Sizes on a scale where partners are at most 1 apart; bands of 4, and the next one where a partner may be in it.
@@ -123,35 +199,21 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     return banded.join(heads, ["h", "band"]).select(F.col("id").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
 
 
-def _bit(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(_BITS)).cast("long")
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit per hash of an id, packed into bytes; its size is fixed."""
-    bits = ids.select(_bit(F.col("id")).alias("bit"))
-    packed = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out, table = np.zeros(_BITS // 64, np.int64), packed.toArrow()  # at most _BITS / 64 rows
-    out[table["word"].to_numpy()] = table["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def _sets(docs: DataFrame, wanted: np.ndarray, width: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, set) of the documents whose bit is set."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = bits.value
+        mine = shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            kept = np.flatnonzero((mine[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            kept = np.flatnonzero(is_set(mine, batch.column(2).to_numpy()))
             if len(kept):
                 part = batch.take(pa.array(kept))
                 hashes = [ngram_hashes(v.as_py(), width).view(np.int64) for v in part.column(1)]
                 ends = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))], ["doc_id", "set"])
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), _bit(F.col(id_col).cast("long")).alias("bit"))
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), bit_of(F.col(id_col).cast("long")).alias("bit"))
     return source.mapInArrow(run, "doc_id long, set array<long>")
 
 
@@ -329,15 +391,23 @@ def groups(
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = scratch.save(_signatures(docs, width, percent, id_col, text_col))
+    wide = scratch.save(_signatures(docs, width, percent, id_col, text_col))
+    signed = scratch.save(wide.select("doc_id", "n", "key", "take", "m"))
     classes = scratch.save(signed.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("id")))
-    chosen = signed.join(classes, (signed["key"] == classes["key"]) & (signed["doc_id"] == classes["id"]), "left_semi")
-    reps = chosen.select(F.col("doc_id").alias("id"), "n", "take", "list")
-    blocks = scratch.save(components(scratch.save(_candidates(reps, percent)), scratch).withColumnRenamed("root", "block"))
+    reps = signed.where(F.col("n") > 0).join(classes, (signed["key"] == classes["key"]) & (signed["doc_id"] == classes["id"]), "left_semi")
+    total = signed.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    packed = _lists(wide, signed, classes, max(4 * tasks, -(-total // _BUCKET)))
+    edges = scratch.save(_candidates(_shared(packed, tasks), reps.select(F.col("doc_id").alias("id"), "n", "take", "m").distinct(), percent))
+    del packed
+    scratch.drop(wide)
+    scratch.tidy()  # the lists are needed no more
+    blocks = scratch.save(components(edges, scratch).withColumnRenamed("root", "block"))
     several = not signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("doc_id").isNotNull() & (F.col("k") > 1)).isEmpty()
-    found = _sets(docs, _bitmap(blocks), width, id_col, text_col)
+    found = _sets(docs, bits(bit_of(F.col("id")), blocks), width, id_col, text_col)
     members = found.join(blocks, found["doc_id"] == blocks["id"]).select("block", "doc_id", "set")
     members = scratch.save(members.dropDuplicates(["doc_id", "set"]) if several else members)
+    del found
+    scratch.tidy()
     sized = members.groupBy("block").agg(F.sum(F.size("set")).alias("size"), F.count(F.lit(1)).alias("docs"))
     large = scratch.save(sized.where(F.col("size") > block_members))
     edges = _solve(members.join(large, "block", "left_anti").withColumn("part", F.lit(0)), percent, tasks)
@@ -345,6 +415,9 @@ def groups(
         links = scratch.save(edges)
     else:
         links = _large_blocks(scratch, members, large, scratch.save(edges), percent, block_members, tasks)
+    del edges
+    scratch.drop(members)
+    scratch.tidy()
     roots = components(links, scratch) if not links.isEmpty() else spark.createDataFrame([], "id long, root long")
     joined = signed.select("doc_id", "n", "key").join(classes, "key", "left").join(roots, "id", "left")
     own = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "id", "doc_id")).alias("component_id"))
@@ -397,7 +470,12 @@ def one_of_each(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) | F.col(id_col).isNull()).isEmpty():
         found = groups(docs, width, percent, id_col=id_col, text_col=text_col)
         gone = scratch.save(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct())
-        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+        # A map tells which rows can be gone; they alone, and not all texts, may be shuffled for the join.
+        places = bits(bit_of(F.col(id_col).cast("long")), gone)
+        if not places.any():
+            return docs
+        stay, asked = split_by_bits(docs, bit_of(F.col(id_col).cast("long")), places)
+        return stay.union(asked.join(gone, id_col, "left_anti").select(*docs.columns))
     # Ids don't tell the rows apart: each id and text gets a number, in the order of the ids, nulls last.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("h"))
     numbers = scratch.save(rows.select("id", "h").distinct().orderBy(F.asc_nulls_last("id"), "h").select("id", "h", F.monotonically_increasing_id().alias("row")))
