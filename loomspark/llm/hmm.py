@@ -36,6 +36,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -124,19 +125,21 @@ def number_words(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
         for batch in batches:
-            lists, tails, tail_n = [], [], []
+            lists, tails, tail_n, sizes = [], [], [np.zeros(0, np.int64)], [0]
             for value in batch.column(3):
                 said = words_of(value.as_py())
-                ids = np.fromiter((get(w, -1) for w in said), np.int32, len(said))
+                ids = np.fromiter(map(get, said, repeat(-1)), np.int32, len(said))
                 rare: dict[bytes, int] = {}
                 at = np.flatnonzero(ids < 0)
                 if len(at):
                     ids[at] = [-1 - rare.setdefault(said[i], len(rare)) for i in at.tolist()]
                 lists.append(_pack(ids))
-                tails.append(list(rare))
-                tail_n.append(np.bincount(-1 - ids[at], minlength=len(rare)).tolist())
+                tails.extend(rare)
+                tail_n.append(np.bincount(-1 - ids[at], minlength=len(rare)))
+                sizes.append(len(rare))
             if lists:
-                made = [pa.array(lists, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
+                offsets = pa.array(np.cumsum(sizes), pa.int32())
+                made = [pa.array(lists, pa.binary()), *(pa.ListArray.from_arrays(offsets, x) for x in (pa.array(tails, pa.binary()), pa.array(np.concatenate(tail_n), pa.int64())))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["rid", "doc_id", "held", "ids", "tail", "tail_n"])
 
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col))
@@ -226,8 +229,8 @@ class Sweep:
             now /= scale[:, None]
             self.alpha[here], self.scale[here] = now, scale
 
-    def forward(self) -> np.ndarray:
-        """Fills ``alpha`` and ``scale``, a row per token; returns the natural log-likelihood of each text."""
+    def forward(self, each: bool = True) -> np.ndarray:
+        """Fills ``alpha`` and ``scale``, a row per token; returns the natural log-likelihood of each text, or of all together."""
         self.alpha, self.scale = np.empty((len(self.symbols), len(self.start)), np.float32), np.empty(len(self.symbols), np.float32)
         self.ends = self.off[self.lens - 1] + np.arange(len(self.lens))
         firsts, more = np.flatnonzero(self.first), np.flatnonzero(~self.first)
@@ -239,6 +242,8 @@ class Sweep:
             end[s] = enter[s] @ self.matrix[self.where[s]]
             end[s] /= end[s].sum() + 1e-30
         self._run(enter[more], more)
+        if not each:  # in any order of the tokens
+            return np.log(self.scale, dtype=np.float64).sum(keepdims=True)
         logs, sizes = np.log(self.scale[self.place], dtype=np.float64), np.bincount(self.text, self.lens).astype(np.int64)
         return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
 
@@ -270,7 +275,7 @@ class Sweep:
 def expected_counts(model: Hmm, texts: list[np.ndarray], segment: int = _SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, Sweep]:
     """Baum-Welch counts of whole texts (rows of ``emit``): start, move, emit, the log-likelihood, and the sweep with the tokens' state probabilities."""
     sweep = Sweep(model, texts, model.emit, segment)
-    total = float(sweep.forward().sum())
+    total = float(sweep.forward(each=False)[0])
     pairs = sweep.backward()
     emit = np.stack([np.bincount(sweep.symbols, sweep.alpha[:, j], len(model.emit)) for j in range(len(model.start))], axis=1)
     return sweep.alpha[: len(sweep.first)][sweep.first].sum(0, dtype=np.float64), pairs, emit, total, sweep
