@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bits of the map that picks rows out of a scan (8 MB); more rows only pick more in vain.
+#: Most bits of the map that picks rows out of a scan (8 MB); more rows only pick more in vain.
 _BITS = 1 << 26
 
 #: The contracts' white space: space and the five ASCII controls from tab on.
@@ -32,39 +32,43 @@ def text_hash(text: Column) -> Column:
 
 
 def bit_of(*columns: Column) -> Column:
-    """The place of a value in the map of ``bits``."""
+    """The place of a value in the largest map of ``bits``; a smaller one takes places modulo its size."""
     return F.pmod(F.xxhash64(*columns), F.lit(_BITS)).cast("long")
 
 
 def bits(places: Column, rows: DataFrame) -> np.ndarray:
-    """A bit per place that ``rows`` have, packed into bytes; the size is fixed."""
+    """A bit per place that ``rows`` have, packed into bytes: 128 to 256 bits for each, a power of two, ``_BITS`` at most."""
     set_bits = rows.select(places.alias("bit"))
     packed = set_bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out, table = np.zeros(_BITS // 64, np.int64), packed.toArrow()  # at most _BITS / 64 rows
-    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    table = packed.toArrow()  # at most _BITS / 64 rows
+    words = table["bits"].to_numpy().view(np.uint64)
+    n = int(np.bitwise_count(words).sum())
+    out = np.zeros(min(_BITS // 64, 1 << (2 * n).bit_length()), np.uint64)
+    np.bitwise_or.at(out, table["word"].to_numpy() % len(out), words)
     return out.view(np.uint8)
 
 
 def is_set(found: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which of the places have their bit set."""
+    at = at & (8 * len(found) - 1)
     return ((found[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def split_by_bits(rows: DataFrame, places: Column, found: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The rows whose bit is not set, and those whose bit is; nothing is shuffled, and only places go to Python."""
-    shared = rows.sparkSession.sparkContext.broadcast(found)
+    """The rows whose bit is not set, and those whose bit is; nothing is shuffled and no Python runs on executors.
 
-    @F.arrow_udf("boolean")
-    def picked(at: pa.Array) -> pa.Array:
-        return pa.array(is_set(shared.value, at.to_numpy()))
-
-    return rows.where(~picked(places)), rows.where(picked(places))
+    The map is a subquery of one row, so plans only refer to it and tasks get it once, as a value.
+    """
+    words = rows.sparkSession.createDataFrame(pa.table({"words": [found.view(np.int64)]})).scalar()
+    at = places.bitwiseAND(8 * len(found) - 1)
+    picked = F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+    return rows.where(~picked), rows.where(picked)
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without the rows whose id (null is one, too) and text hash are in ``gone`` (id, h).
 
-    A map of fixed size tells which rows can be; they alone, and not all texts, may be shuffled for the join.
+    A map of bounded size tells which rows can be; they alone, and not all texts, may be shuffled for the join.
     """
     found = bits(bit_of(F.col("id"), F.col("h")), gone)
     if not found.any():

@@ -1,11 +1,12 @@
-"""What the operators on copies move between tasks."""
+"""What the operators on copies move between tasks, and how they pick rows."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import columns, exact_dedup, ngram_join
+from loomspark.llm import columns, decontaminate, exact_dedup, ngram_join
 
 DOC = "doc_id int, text string"
 
@@ -53,6 +54,54 @@ def test_a_full_map_of_removed_rows_loses_nothing(spark, monkeypatch):
     assert sorted(got, key=str) == sorted([r for r in rows if r[1] != "text 1" and (r[0] is None or r[0] % 3)], key=str)
 
 
+def plans(spark, frame_of):
+    """The number of rows, and the plans of everything that ran for them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def ran():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in (found.apply(i) for i in range(found.size()))}
+
+    before = ran()
+    n = frame_of().count()
+    return n, [v for k, v in ran().items() if k not in before]
+
+
+@pytest.mark.parametrize(
+    ("keep", "left"),
+    [(exact_dedup.deduplicate, 1560), (lambda d: decontaminate.remove_documents(d, d.where("doc_id < 5").select(F.col("doc_id").alias("item_id"), "text")), 1610)],
+    ids=["exact_dedup", "decontaminate"],
+)
+def test_native_stages_run_no_python(spark, docs, keep, left):
+    n, ran = plans(spark, lambda: keep(docs))
+    assert n == left and len(ran) > 2
+    assert not [p for p in ran if "Python" in p or "InArrow" in p or "InPandas" in p]
+
+
+def test_every_place_of_the_map_is_looked_up(spark):
+    places, chosen = list(range(256)), {0, 1, 62, 63, 64, 65, 127, 128, 191, 254, 255}
+    found = np.packbits([p in chosen for p in places], bitorder="little")
+    assert columns.is_set(found, np.array(places)).tolist() == [p in chosen for p in places]
+    stay, asked = columns.split_by_bits(spark.range(256), F.col("id"), found)
+    assert {r.id for r in asked.collect()} == chosen
+    assert {r.id for r in stay.collect()} == set(places) - chosen
+
+
+@pytest.mark.parametrize(("n", "most"), [(0, 8), (1, 32), (300, 300 * 32), (40_000, 2048)])
+def test_a_map_is_as_small_as_its_rows_allow(spark, monkeypatch, n, most):
+    if n == 40_000:
+        monkeypatch.setattr(columns, "_BITS", 1 << 14)
+    rows = spark.range(n + 500).withColumn("bit", columns.bit_of(F.col("id")))
+    found = columns.bits(F.col("bit"), rows.where(F.col("id") < n))
+    assert len(found) <= most and found.any() == (n > 0)
+    _, asked = columns.split_by_bits(rows, F.col("bit"), found)
+    table = rows.toArrow()
+    native = set(asked.toArrow()["id"].to_pylist())
+    assert native == set(table["id"].to_numpy()[columns.is_set(found, table["bit"].to_numpy())].tolist())
+    assert native >= set(range(n)) and (n == 40_000 or len(native) < n + 25)
+
+
 def test_buckets_of_hashes_count_every_list(spark):
     rng = random.Random(9)
     lists = [(d * 10**12 - 7, [rng.getrandbits(64) - 2**63 for _ in range(40)] + rng.sample(range(30), 5)) for d in range(80)]
